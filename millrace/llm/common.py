@@ -32,6 +32,15 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +53,10 @@ def null_safe_text(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-# -- hashing of words and shingles (vectorised, stable across processes) --------------------
+def small_enough(df: DataFrame, rows: int) -> bool:
+    """Whether `df` has at most `rows` rows; the bound is checked before it is broadcast."""
+    return df.limit(rows + 1).count() <= rows
+
 
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -58,34 +70,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _S33)
     x = x * _M2
     return x ^ (x >> _S33)
-
-
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; a memo that is emptied when it reaches `limit` entries."""
-
-    def __init__(self, limit: int = 400_000, seed: int = 0):
-        super().__init__()
-        import xxhash
-
-        self.limit, self.seed, self.digest = limit, seed, xxhash.xxh3_64_intdigest
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = self.digest(word, self.seed)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def window_hashes(h: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
-    """Hash of the words at `offsets` from each start position; one value per full window."""
-    span = offsets[-1] + 1
-    n = len(h) - span + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.full(n, np.uint64(len(offsets)), np.uint64)
-    for k in offsets:
-        out = mix64(out ^ h[k : k + n]) + np.uint64(0x9E3779B97F4A7C15)
-    return out
