@@ -36,6 +36,12 @@ def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(read_table(spark, sf_dir, "documents"), 40)
 
 
+def op6_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=4)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.license_scan import license_scan
 
@@ -61,7 +67,7 @@ def op10_latent_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op4_hypergeometric_shards, op7_license_scan, op8_toxicity_neighbours, op9_spaced_seed_overlaps, op10_latent_quality)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op4_hypergeometric_shards, op6_bottom_k_near_duplicates, op7_license_scan, op8_toxicity_neighbours, op9_spaced_seed_overlaps, op10_latent_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
