@@ -139,7 +139,7 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, width:
 def _block_pairs(percent: int):
     """Pairs of a block of one inverted list with another: (a, b) by sketch overlap; runs in a task, on two blocks at most."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         t = table.combine_chunks()
         ids, n, least, comp, before = (np.array(t.column(c).to_numpy(zero_copy_only=False)) for c in ("id", "n", "least", "comp", "before"))
         first = np.array(t.column("first").to_numpy(zero_copy_only=False)).astype(bool)
