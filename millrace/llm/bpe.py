@@ -153,10 +153,10 @@ def _slices(texts: list[str], chars: int) -> Iterator[list[str]]:
         yield run
 
 
-def encode(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False, memo: int = 300_000, batch_chars: int = 2_000_000) -> DataFrame:
+def encode(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False, keep_text: bool = False, memo: int = 300_000, batch_chars: int = 2_000_000) -> DataFrame:
     """Encode every whole text.
 
-    Returns (id_col, ids array<int>[, decoded string]), one row per input row. With
+    Returns (id_col, ids array<int>[, decoded string][, text_col]), one row per input row. With
     `decode_too` each list of ids is decoded again by the same task, which spares a second
     passage through Python. Null and empty texts give an empty list and an empty text; null
     ids and repeated rows are kept; other columns are ignored. No shuffle; memory is bounded
@@ -174,12 +174,15 @@ def encode(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col:
                 columns = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32()))]
                 if decode_too:
                     columns.append(pa.array([decode_ids(x, vocab.value) for x in ids], pa.string()))
+                if keep_text:
+                    columns.append(batch.column(1).slice(at, len(texts)))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
+    names = ["id", "ids"] + ["decoded"] * decode_too + ["text"] * keep_text
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, f"id {id_type.simpleString()}, ids array<int>" + ", decoded string" * decode_too)
-    return out.withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(run, f"id {id_type.simpleString()}, ids array<int>" + ", decoded string" * decode_too + ", text string" * keep_text)
+    return out.toDF(id_col, *names[1:-1], *([text_col] if keep_text else names[-1:]))
 
 
 def decode(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", ids_col: str = "ids", skip_special: bool = False) -> DataFrame:
