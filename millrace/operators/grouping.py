@@ -107,7 +107,7 @@ def quantile_by_rank(df: DataFrame, column: str, q: float) -> DataFrame:
 
 def implode(*columns: str) -> list[Column]:
     """Values of a group as lists that keep nulls."""
-    return [F.transform(F.collect_list(F.struct(c)), lambda x, c=c: x[c]).alias(c) for c in columns]
+    return [F.transform(F.collect_list(F.struct(F.col(c).alias("v"))), lambda x: x["v"]).alias(c) for c in columns]
 
 
 def horizontal(op: str, *columns: str) -> Column:
