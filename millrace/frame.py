@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.operators import grouping, joins, predicates, projection, rows, sets, windows
+from millrace.operators import apply, grouping, joins, predicates, projection, rows, sets, windows
 from millrace.plans import sql as sql_
 
-_MODULES = (projection, predicates, joins, grouping, windows, rows, sets)
+_MODULES = (apply, projection, predicates, joins, grouping, windows, rows, sets)
 
 
 class Frame:
