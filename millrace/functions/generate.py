@@ -70,3 +70,15 @@ def unfold(spark: SparkSession, start, step: Callable, limit: int) -> DataFrame:
         value, state = made
         out.append((value,))
     return spark.createDataFrame(out, ["value"])
+
+
+def random_password(n: int, seed: int = 0, symbols: bool = True, numbers: bool = True, uppercase: bool = True) -> Column:
+    """n characters drawn from the chosen kinds. Drawn by rand(), so not for secrets."""
+    chars = "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" * uppercase + "0123456789" * numbers + "!@#$%^&*()-_=+" * symbols
+    draw = lambda k: F.substring(F.lit(chars), (F.floor(F.rand(seed + k) * len(chars)) + 1).cast("int"), F.lit(1))
+    return F.concat(*(draw(k) for k in range(n)))
+
+
+def dice(spark: SparkSession, count: int = 1, sides: int = 6, seed: int | None = None) -> DataFrame:
+    """Throws of a die."""
+    return spark.range(count).select(random_int(1, sides, seed).alias("value"))

@@ -297,3 +297,65 @@ def path_join(*parts: Column) -> Column:
 
 def path_split(c: Column) -> Column:
     return F.filter(F.split(c, "/"), lambda p: p != "")
+
+
+def decode_base32(c: Column, hex_alphabet: bool = False) -> Column:
+    """Bytes of a base-32 text, padding left out."""
+    alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUV" if hex_alphabet else "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    chars = split_chars(F.rtrim(F.upper(c), F.lit("=")))
+    bits = F.array_join(F.transform(chars, lambda x: F.lpad(F.conv(F.instr(F.lit(alphabet), x) - 1, 10, 2), 5, "0")), "")
+    octets = F.regexp_extract_all(bits, F.lit("(.{8})"), F.lit(1))
+    return F.unhex(F.array_join(F.transform(octets, lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), ""))
+
+
+def build_query(record: Column) -> Column:
+    """A map as a query string."""
+    return F.array_join(F.transform(F.map_entries(record), lambda e: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(e["value"].cast("string")))), "&")
+
+
+def url_join(parts: Column) -> Column:
+    """A URL from the parts that url_parse gives; empty parts are left out."""
+    some = lambda name, before, after="": F.when(parts[name] != "", F.concat(F.lit(before), parts[name], F.lit(after))).otherwise("")
+    user = F.when(parts["username"] != "", F.concat(parts["username"], some("password", ":"), F.lit("@"))).otherwise("")
+    return F.concat(some("scheme", "", "://"), user, parts["host"], some("port", ":"), parts["path"], some("query", "?"), some("fragment", "#"))
+
+
+def url_with(c: Column, **changes: Column | str) -> Column:
+    """The URL with some parts replaced: scheme, host, port, path, query, fragment."""
+    parts = url_parse(c)
+    for name, value in changes.items():
+        parts = parts.withField(name, value if isinstance(value, Column) else F.lit(value))
+    return url_join(parts)
+
+
+def path_with(c: Column, extension: str | None = None, stem: str | None = None, parent: str | None = None) -> Column:
+    """The path with some parts replaced."""
+    p = path_parse(c)
+    ext = F.lit(extension) if extension is not None else p["extension"]
+    up = F.lit(parent) if parent is not None else p["parent"]
+    name = F.concat(F.lit(stem) if stem is not None else p["stem"], F.when(ext != "", F.concat(F.lit("."), ext)).otherwise(""))
+    return F.when(up == "", name).otherwise(F.concat(up, F.lit("/"), name))
+
+
+def path_relative_to(c: Column, base: str) -> Column:
+    """The rest of a path below a folder; null if it is not below."""
+    root = base.rstrip("/")
+    return F.when(c == root, "").when(F.startswith(c, F.lit(root + "/")), F.substring(c, F.lit(len(root) + 2), F.char_length(c)))
+
+
+def brace_expansions(pattern: str) -> list[str]:
+    """All texts that a pattern with `{a,b}` lists and `{1..3}` ranges stands for."""
+    m = re.search(r"\{([^{}]*)\}", pattern)
+    if not m:
+        return [pattern]
+    span = re.fullmatch(r"(\d+)\.\.(\d+)", m[1])
+    if span:
+        a, b = int(span[1]), int(span[2])
+        width = len(span[1]) if span[1].startswith("0") and len(span[1]) > 1 else 0
+        items = [str(k).zfill(width) for k in range(a, b + 1)]
+    else:
+        items = m[1].split(",")
+    out: list[str] = []
+    for i in items:
+        out += [x for x in brace_expansions(pattern[: m.start()] + i + pattern[m.end() :]) if x not in out]
+    return out

@@ -169,3 +169,12 @@ def timezones(spark: SparkSession) -> DataFrame:
     from zoneinfo import available_timezones
 
     return spark.createDataFrame([(z,) for z in sorted(available_timezones())], "timezone string")
+
+
+def ceil(c: Column, every: str) -> Column:
+    """Round up to a multiple of a span; see truncate."""
+    n, unit = re.fullmatch(r"(\d+)\s*([a-z]+)", every).groups()
+    names = {"y": "years", "q": "months", "mo": "months", "w": "weeks", "d": "days", "h": "hours", "m": "minutes", "s": "seconds"}
+    low = truncate(c, every)
+    step = F.expr(f"INTERVAL {int(n) * (3 if unit == 'q' else 1)} {names[unit]}")
+    return F.when(low == c, low).otherwise(low + step)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace import Frame
 from millrace.functions import binary, convert, formats, generate, lists, number, text
 from millrace.functions import time as time_
-from millrace.operators import grouping, joins, predicates, projection, rows, sets, windows
+from millrace.operators import apply, grouping, joins, predicates, projection, rows, sets, windows
 from millrace.order import cumulative, rolling, shifted
 from millrace.plans import inspect, selectors, sql
 from millrace.sources import files, sqlite
@@ -248,6 +248,30 @@ def test_text_functions(spark):
     assert one(spark, "/home/x/a.tar.gz", lambda c: text.path_parse(c)).asDict() == {"parent": "/home/x", "stem": "a.tar", "extension": "gz"}
 
 
+def test_urls_and_paths(spark):
+    u = "http://me:pw@example.com:8080/a/b.html?x=1#top"
+    assert one(spark, u, lambda c: text.url_join(text.url_parse(c))) == u
+    assert one(spark, u, lambda c: text.url_with(c, host="h.org", port="")) == "http://me:pw@h.org/a/b.html?x=1#top"
+    assert one(spark, "a/b.txt", lambda c: text.path_with(c, extension="md")) == "a/b.md"
+    assert one(spark, "/x/y/z", lambda c: text.path_relative_to(c, "/x")) == "y/z"
+    assert one(spark, "/xy", lambda c: text.path_relative_to(c, "/x")) is None
+    assert text.brace_expansions("{A,B}{1..2}c") == ["A1c", "A2c", "B1c", "B2c"]
+    for s in (b"", b"f", b"foo", b"foobar"):
+        assert bytes(one(spark, base64.b32encode(s).decode(), text.decode_base32)) == s
+    assert spark.range(1).select(text.build_query(F.create_map(F.lit("a b"), F.lit("c&d")))).first()[0] == "a+b=c%26d"
+
+
+def test_python_functions_over_rows(spark):
+    df = spark.range(5)
+    assert apply.each(df, lambda v: [{"a": v["id"]}] * (v["id"] % 2), "a long").count() == 2
+    with pytest.raises(ValueError):
+        apply.only(df)
+    assert apply.only(df.where("id = 3")).first()["id"] == 3
+    assert values(apply.each_while(df, "v", F.when(F.col("id") < 2, F.col("id")), ["id"])) == [(0,), (1,)]
+    tree = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "up int, me int")
+    assert apply.recurse(tree, "up", "me", F.col("me") == 2).count() == 3
+
+
 def test_parse_texts(spark):
     df = spark.createDataFrame([("hi there",), ("none",), (None,)], "t string")
     assert [tuple(r) for r in text.parse(df, "t", "{a} {b}").collect()] == [("hi", "there")]
@@ -293,6 +317,7 @@ def test_times(spark):
     df = spark.sql("select timestamp '2024-05-17 13:45:00' t")
     assert str(df.select(time_.truncate(F.col("t"), "2mo")).first()[0]) == "2024-05-01 00:00:00"
     assert str(df.select(time_.truncate(F.col("t"), "1w")).first()[0]) == "2024-05-13 00:00:00"
+    assert str(df.select(time_.ceil(F.col("t"), "1h")).first()[0]) == "2024-05-17 14:00:00"
     assert str(df.select(time_.truncate(F.col("t"), "2w")).first()[0])[:10] in ("2024-05-06", "2024-05-13")
 
 
