@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,69 +48,116 @@ def _words(table: pa.Table):
     return words_of(pa.concat_arrays(table.column("text").chunks) if table.num_rows else pa.array([], pa.string()), spaced_words())
 
 
-def _count_chunk(orders: int, buckets: int):
-    """The n-grams of one chunk of documents with their counts, packed by hash range."""
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each of the equal hash ranges begins in sorted keys; one more entry than ranges."""
+    starts = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, starts), [len(keys)]])
 
-    def run(key, table):
-        words = _words(table)
-        found = []
-        for order in range(1, orders + 1):
-            keys, whole = ngram_keys(words, order)
-            found.append(keys[whole])
-        keys, counts = np.unique(np.concatenate(found), return_counts=True)
-        edges = np.searchsorted(keys, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-        parts = list(zip(np.split(keys, edges), np.split(counts, edges), strict=True))
-        some = [b for b, (k, _) in enumerate(parts) if len(k)]
-        chunk = key[0].as_py()
+
+class Chunk:
+    """The n-grams of one chunk of documents, in levels: words and pairs, then triples both of whose pairs are known.
+
+    A level's keys follow from the texts and the totals of the level before, so only totals have to come back, not keys.
+    """
+
+    def __init__(self, table: pa.Table, orders: int, buckets: int):
+        self.words, self.orders, self.buckets = _words(table), orders, buckets
+        self.at = np.arange(len(self.words.hash)) - np.repeat(self.words.first[:-1], np.diff(self.words.first))
+        made = [ngram_keys(self.words, k) for k in range(1, min(orders, 2) + 1)]
+        self.totals: list[np.ndarray] = []  # by order: the total at each position, 0 for what is not known
+        self._take(made)
+
+    def _take(self, made: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.where = [whole for _, whole in made]
+        flat = np.concatenate([keys[whole] for keys, whole in made])
+        self.keys, self.inverse, self.counts = np.unique(flat, return_inverse=True, return_counts=True)
+        self.edges = _edges(self.keys, self.buckets)
+
+    def parts(self, chunk: int) -> pa.Table:
+        """The level's keys and counts, packed by hash range."""
+        some = np.flatnonzero(np.diff(self.edges)).tolist()
+        spans = [slice(self.edges[b], self.edges[b + 1]) for b in some]
         return pa.table(
             {
                 "bucket": pa.array(some, pa.int32()),
                 "chunk": pa.array([chunk] * len(some), pa.int32()),
-                "keys": pa.array([pack(parts[b][0]) for b in some], pa.binary()),
-                "counts": pa.array([parts[b][1].astype("<u4").tobytes() for b in some], pa.binary()),
+                "keys": pa.array([pack(self.keys[x]) for x in spans], pa.binary()),
+                "counts": pa.array([self.counts[x].astype("<u4").tobytes() for x in spans], pa.binary()),
             }
         )
 
+    def learn(self, buckets: list[int], blobs: list[bytes]) -> None:
+        """Take the totals of the level's keys from all hash ranges."""
+        total = np.zeros(len(self.keys), np.int64)
+        for b, blob in zip(buckets, blobs, strict=True):
+            total[self.edges[b] : self.edges[b + 1]] = unpack_totals(blob, int(self.edges[b + 1] - self.edges[b]))
+        by_place, at = total[self.inverse], 0
+        for whole in self.where:
+            n = int(whole.sum())
+            here = np.zeros(len(whole), np.int64)
+            here[whole] = by_place[at : at + n]
+            self.totals.append(here)
+            at += n
+
+    def next_level(self) -> None:
+        """Triples can only be known where both their pairs are."""
+        keys, whole = ngram_keys(self.words, 3)
+        pair = self.totals[1] > 0
+        whole = whole & pair
+        whole[1:] &= pair[:-1]
+        self._take([(keys, whole)])
+
+
+def pack_totals(total: np.ndarray) -> bytes:
+    """Totals as a bit for each that is not 0, and those that are not."""
+    return np.packbits(total > 0).tobytes() + total[total > 0].astype("<u8").tobytes()
+
+
+def unpack_totals(blob: bytes, n: int) -> np.ndarray:
+    size = (n + 7) // 8
+    known = np.unpackbits(np.frombuffer(blob, np.uint8, size), count=n).astype(bool)
+    out = np.zeros(n, np.int64)
+    out[known] = np.frombuffer(blob, "<u8", offset=size).astype(np.int64)
+    return out
+
+
+def _count_chunk(orders: int, buckets: int):
+    """Words and pairs of a chunk with their counts."""
+
+    def run(key, table):
+        return Chunk(table, orders, buckets).parts(key[0].as_py())
+
     return run
 
 
-def _sum_bucket(least: int):
-    """Total counts of one hash range. Each chunk gets back the totals of its own n-grams that the model keeps."""
+def _count_triples(buckets: int):
+    """Triples of a chunk, given the totals of its words and pairs."""
+
+    def run(key, left, right):
+        chunk = Chunk(left, 3, buckets)
+        chunk.learn(right.column("bucket").to_pylist(), right.column("totals").to_pylist())
+        chunk.next_level()
+        return chunk.parts(key[0].as_py())
+
+    return run
+
+
+def _sum_bucket(least: int, level: int):
+    """Total counts of one hash range. Each chunk gets back the totals of its own n-grams, 0 for those that the model leaves out."""
 
     def run(key, table):
         keys = [unpack(b) for b in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(b, "<u4") for b in table.column("counts").to_pylist()]
         every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) > 0]))
-        total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), first)
-        names = every[order][first]
-        del order
-        unigram = (names & _ORDER) == 1
-        kept = unigram | (total >= least)
-        names, total = names[kept], total[kept]
-        out_keys, out_totals = [], []
-        for k in keys:
-            at = np.searchsorted(names, k)
-            at[at == len(names)] = 0
-            ok = names[at] == k if len(names) else np.zeros(len(k), bool)
-            out_keys.append(pack(k[ok]))
-            out_totals.append(total[at[ok]].astype("<i8").tobytes())
-        chunks = table.column("chunk").to_pylist()
-        return pa.table({"chunk": pa.array(chunks, pa.int32()), "keys": pa.array(out_keys, pa.binary()), "totals": pa.array(out_totals, pa.binary())})
+        names, at = np.unique(every, return_inverse=True)
+        total = np.bincount(at, np.concatenate([np.frombuffer(b, "<u4") for b in table.column("counts").to_pylist()]), len(names)).astype(np.int64)
+        total[((names & _ORDER) != 1) & (total < least)] = 0
+        back = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
+        n = table.num_rows
+        return pa.table({"chunk": table.column("chunk"), "level": pa.array([level] * n, pa.int32()), "bucket": table.column("bucket"), "totals": pa.array([pack_totals(x) for x in back], pa.binary())})
 
     return run
 
 
-def _positions(names: np.ndarray, total: np.ndarray, keys: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Counts of the n-grams at each position; 0 for those that the model does not know."""
-    if not len(names):
-        return np.zeros(len(keys), np.int64)
-    at = np.searchsorted(names, keys)
-    at[at == len(names)] = 0
-    return np.where(whole & (names[at] == keys), total[at], 0)
-
-
 def corpus_size(rows: DataFrame) -> tuple[int, int]:
     """Bytes and words of all texts."""
     table = spaced_words() != 0
@@ -132,39 +181,36 @@ def corpus_size(rows: DataFrame) -> tuple[int, int]:
     return r["size"] or 0, r["n"] or 0
 
 
-def _score_chunk(orders: int, backoff: float, all_words: int):
-    """Scores of the documents of one chunk from the counts of its n-grams."""
+def _score_chunk(orders: int, buckets: int, backoff: float, all_words: int):
+    """Scores of the documents of one chunk from the totals of its n-grams."""
 
     def run(key, left, right):
-        words = _words(left)
-        n = len(words.hash)
-        names = np.concatenate([np.empty(0, np.uint64), *(unpack(b) for b in right.column("keys").to_pylist())])
-        total = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(b, "<i8") for b in right.column("totals").to_pylist())])
-        order = np.argsort(names, kind="stable")
-        names, total = names[order], total[order]
-        counts = [_positions(names, total, *ngram_keys(words, k)) for k in range(1, orders + 1)]
-        score, penalty = np.zeros(n), np.zeros(n)
-        done = np.zeros(n, bool)
-        at = np.arange(n) - np.repeat(words.first[:-1], np.diff(words.first))
+        chunk = Chunk(left, orders, buckets)
+        levels = np.array(right.column("level").to_pylist(), np.int64)
+        for level in (0, 1)[: max(1, orders - 1)]:
+            if level:
+                chunk.next_level()
+            mine = right.filter(pa.array(levels == level))
+            chunk.learn(mine.column("bucket").to_pylist(), mine.column("totals").to_pylist())
+        totals, at, first = chunk.totals, chunk.at, chunk.words.first
+        n = len(at)
+        score, penalty, done = np.zeros(n), np.zeros(n), np.zeros(n, bool)
         for k in range(orders, 1, -1):
             context = np.zeros(n, np.int64)
-            context[1:] = counts[k - 2][:-1]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                known = ~done & (counts[k - 1] > 0) & (context > 0)
-                score = np.where(known, np.log(counts[k - 1] / np.maximum(context, 1)) + penalty, score)
+            context[1:] = totals[k - 2][:-1]
+            known = ~done & (totals[k - 1] > 0) & (context > 0)
+            score = np.where(known, np.log(np.maximum(totals[k - 1], 1) / np.maximum(context, 1)) + penalty, score)
             done |= known
             penalty += np.where(~done & (at >= k - 1), np.log(backoff), 0.0)
-        with np.errstate(divide="ignore"):
-            score = np.where(done, score, np.log(np.maximum(counts[0], 1) / max(1, all_words)) + penalty)
-        sums = np.add.reduceat(np.append(score, 0.0), np.minimum(words.first[:-1], n)) if left.num_rows else np.empty(0)
-        size = np.diff(words.first)
-        sums = np.where(size > 0, sums, 0.0)
-        return pa.table({"id": left.column("id"), "n_words": pa.array(size, pa.int64()), "log_score": pa.array(sums, pa.float64())})
+        score = np.where(done, score, np.log(np.maximum(totals[0], 1) / max(1, all_words)) + penalty)
+        sums = np.add.reduceat(np.append(score, 0.0), np.minimum(first[:-1], n)) if left.num_rows else np.empty(0)
+        size = np.diff(first)
+        return pa.table({"id": left.column("id"), "n_words": pa.array(size, pa.int64()), "log_score": pa.array(np.where(size > 0, sums, 0.0), pa.float64())})
 
     return run
 
 
-def lm_scores(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", orders: int = 3, least: int = 2, backoff: float = 0.4, chunk_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def lm_scores(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", orders: int = 3, least: int = 2, backoff: float = 0.4, chunk_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, even_bytes: int = 64 << 30) -> DataFrame:
     """Score every whole text by the n-grams of all texts: (id_col, n_words, log_score, mean_log_score).
 
     Words stand between ASCII white space, A-Z lowered. A word w after a context c scores
@@ -175,18 +221,25 @@ def lm_scores(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     n_words 0, log_score 0 and a null mean. Null ids and repeated rows are kept.
 
     Documents are dealt by hash into chunks of about `chunk_bytes`. Each chunk sends its distinct
-    n-grams, packed, to tables partitioned by hash range; these send back the totals of the n-grams that are
-    known. Two keys of different n-grams are equal with a probability of about 2**-62.
+    words and pairs, packed, to count tables partitioned by hash range, and gets back their totals; then
+    the same for triples, of which only those with two known pairs can be known. Beyond `even_bytes` of text, chunks and ranges grow with the square root of the size, so that the
+    number of pieces, chunks times ranges, grows in proportion to it. Two keys of different n-grams are equal with a probability of about 2**-62.
     """
     if not 1 <= orders <= 3:
         raise ValueError("orders is 1, 2 or 3")
     kind = field_type(df, id_col).simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size, n_words = corpus_size(rows)
-    chunks, buckets = max(1, -(-size // chunk_bytes)), max(1, -(-size // bucket_bytes))
+    larger = max(1.0, math.sqrt(size / even_bytes))
+    chunks, buckets = (max(1, math.ceil(size / (x * larger))) for x in (chunk_bytes, bucket_bytes))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
-    parts = dealt.groupBy("chunk").applyInArrow(_count_chunk(orders, buckets), "bucket int, chunk int, keys binary, counts binary")
-    totals = parts.groupBy("bucket").applyInArrow(_sum_bucket(least), "chunk int, keys binary, totals binary")
-    scored = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_score_chunk(orders, backoff, n_words), f"id {kind}, n_words long, log_score double")
+    part = "bucket int, chunk int, keys binary, counts binary"
+    back = "chunk int, level int, bucket int, totals binary"
+    chunk = dealt.groupBy("chunk")
+    totals = chunk.applyInArrow(_count_chunk(orders, buckets), part).groupBy("bucket").applyInArrow(_sum_bucket(least, 0), back)
+    if orders > 2:
+        triples = chunk.cogroup(totals.groupBy("chunk")).applyInArrow(_count_triples(buckets), part)
+        totals = totals.unionAll(triples.groupBy("bucket").applyInArrow(_sum_bucket(least, 1), back))
+    scored = chunk.cogroup(totals.groupBy("chunk")).applyInArrow(_score_chunk(orders, buckets, backoff, n_words), f"id {kind}, n_words long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.select(F.col("id").alias(id_col), "n_words", "log_score", mean.alias("mean_log_score"))
