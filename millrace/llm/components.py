@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,16 @@ def connected_components(links: DataFrame, name: str = "components", rounds: int
         edges = fresh
     roots = edges.select(F.col("lo").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("component")).unionByName(roots)
+
+
+def spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node that links (x, y) connect it with."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, x, root[y])
+        np.minimum.at(new, y, root[x])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import field_type, stage_table
-from millrace.llm.components import connected_components
+from millrace.llm.components import connected_components, spanning
 
 
 @lru_cache(8)
@@ -88,19 +88,6 @@ def prepared(df: DataFrame, id_col: str, vec_col: str, label_col: str, seed: int
     return rows.mapInArrow(run, f"id {kinds[0]}, label {kinds[1]}, dim int, key1 long, key2 long, vec array<double>, code binary, factor double")
 
 
-def _spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """For each of n nodes the smallest node that links (x, y) connect it with."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, x, root[y])
-        np.minimum.at(new, y, root[x])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _cell(threshold: float, seed: int):
     """Links between two blocks of one label (or inside one), as counts for each class and the edges of a spanning forest."""
 
@@ -133,7 +120,7 @@ def _cell(threshold: float, seed: int):
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, x, m[y])
         np.add.at(links, y, m[x])
-        root = _spanning(x, y, len(ids))
+        root = spanning(x, y, len(ids))
         some = np.flatnonzero(links)
         return pa.table({"id": ids[some], "to": ids[root[some]], "links": links[some]})
 

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import drop_tables, mix64, small_enough, stage_table
-from millrace.llm.components import connected_components
+from millrace.llm.components import connected_components, spanning
 from millrace.llm.words import map_texts, slices, spaced_words, window_hashes, words_of
 
-SMALL_LIST = 64  # longer inverted lists are compared in blocks
-BLOCK = 512
+SMALL_LIST = 32  # longer inverted lists are compared in blocks
+BLOCK = 256  # documents; a task holds the sets of two blocks
+COLUMNS = 4096
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -67,20 +68,23 @@ def least_overlap(k: int):
 
 
 def prefix_entries(classes: DataFrame, k: int) -> DataFrame:
-    """(id, n, least, values, entries): the shared sketch values of a class, and those of them, rarest first, that any partner must meet.
+    """(value, id, n, typical, before): the shared sketch values of each class, rarest first, that any partner must meet.
 
     Sketch values are put in the order of their document frequency. A class whose values are
-    mostly its own has no entries and is left out: nothing can reach the overlap that it needs.
+    mostly its own has no entries: nothing can reach the overlap that it needs. `before` is the
+    entry in front in that order, `typical` the sum of the frequencies of all its values.
     """
     spread = classes.select("id", "n", F.explode("sketch").alias("value"))
     shared = stage_table(spread.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     have = spread.join(shared, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("values"))
-    have = have.withColumn("least", least_overlap(k))
     own = F.least(F.col("n"), F.lit(k)) - F.size("values")  # values that no other class has come first
-    room = F.least(F.col("n"), F.lit(k)) - F.col("least") + 1 - own
-    have = have.withColumn("room", room.cast("int")).where("room > 0")
-    values = F.transform("values", lambda x: x["value"])
-    return have.select("id", "n", "least", values.alias("values"), F.slice(values, F.lit(1), F.col("room")).alias("entries"))
+    room = (F.least(F.col("n"), F.lit(k)) - least_overlap(k) + 1 - own).cast("int")
+    have = have.withColumn("room", room).where("room > 0")
+    typical = F.aggregate("values", F.lit(0).cast("long"), lambda s, x: s + x["c"])
+    have = have.select("id", "n", typical.alias("typical"), F.transform(F.slice("values", F.lit(1), F.greatest(F.col("room"), F.lit(0))), lambda x: x["value"]).alias("entries"))
+    spread = have.select("id", "n", "typical", "entries", F.posexplode("entries").alias("at", "value"))
+    before = F.when(F.col("at") > 0, F.get("entries", F.col("at") - 1)).otherwise(-1 - F.col("id"))  # unlike any other
+    return spread.select("value", "id", "n", "typical", before.alias("before"))
 
 
 def _intersections(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -112,16 +116,20 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int, least: float) -> Dat
     return met.select("a", "b", "sa", "sb").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """Pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union. Reads only the texts that pairs name."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+def whole_sets(wanted: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, broadcast_rows: int) -> DataFrame:
+    """(_id, shingles) of the documents in `wanted` (_id), from their whole texts."""
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    wanted = stage_table(wanted.distinct(), "wanted")
     wanted = F.broadcast(wanted) if small_enough(wanted, broadcast_rows) else wanted
 
     def make():
         return lambda texts: [_list_array(shingle_sets(texts, width))]
 
-    sets = stage_table(map_texts(rows.join(wanted, "_id", "left_semi"), "text", ["_id"], "shingles array<long>", make), "sets")
+    return stage_table(map_texts(rows.join(wanted, "_id", "left_semi"), "text", ["_id"], "shingles array<long>", make), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union."""
 
     def run(batches):
         for batch in batches:
@@ -136,66 +144,82 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, width:
     return met.select("a", "b", "sa", "sb").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _block_pairs(percent: int):
-    """Pairs of a block of one inverted list with another: (a, b) by sketch overlap; runs in a task, on two blocks at most."""
+def _block_links(percent: int):
+    """Links between two blocks of one inverted list, by whole sets: the edges of a spanning forest. Runs in a task."""
 
     def run(key, table):
         t = table.combine_chunks()
-        ids, n, least, comp, before = (np.array(t.column(c).to_numpy(zero_copy_only=False)) for c in ("id", "n", "least", "comp", "before"))
-        first = np.array(t.column("first").to_numpy(zero_copy_only=False)).astype(bool)
-        second = np.array(t.column("second").to_numpy(zero_copy_only=False)).astype(bool)
-        lists = t.column("values").chunk(0) if t.num_rows else None
-        flat, size = np.array(lists.flatten()), np.array(lists.value_lengths())
-        _, at = np.unique(flat, return_inverse=True)
-        dense = np.zeros((len(ids), int(at.max()) + 1), np.float32)
-        dense[np.repeat(np.arange(len(ids)), size), at] = 1
+        ids, comp, before = (np.array(t.column(c).to_numpy(zero_copy_only=False)) for c in ("id", "comp", "before"))
+        first, second = (np.array(t.column(c).to_numpy(zero_copy_only=False)).astype(bool) for c in ("first", "second"))
+        lists = t.column("shingles").chunk(0)
+        flat, n = np.array(lists.flatten()), np.array(lists.value_lengths()).astype(np.int64)
+        _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+        some = times[at] > 1  # what only one document has meets nothing
+        row = np.repeat(np.arange(len(ids)), n)[some]
+        _, at = np.unique(at[some], return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
         i, j = np.flatnonzero(first), np.flatnonzero(second)
-        overlap = dense[i] @ dense[j].T
-        ok = overlap >= np.maximum(least[i][:, None], least[j][None, :])
-        ok &= comp[i][:, None] != comp[j][None, :]
-        ok &= 100 * np.minimum(n[i][:, None], n[j][None, :]) >= percent * np.maximum(n[i][:, None], n[j][None, :])
-        ok &= before[i][:, None] != before[j][None, :]
+        both = np.zeros((len(i), len(j)), np.float32)
+        for c in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+            a, b = np.searchsorted(at, [c, c + COLUMNS])
+            dense = np.zeros((len(ids), COLUMNS), np.float32)
+            dense[row[a:b], at[a:b] - c] = 1
+            both += dense[i] @ dense[j].T
+        ok = 100 * both >= percent * (n[i][:, None] + n[j][None, :] - both)
+        ok &= (comp[i][:, None] != comp[j][None, :]) & (before[i][:, None] != before[j][None, :])
         x, y = np.nonzero(ok)
-        a, b = np.minimum(ids[i[x]], ids[j[y]]), np.maximum(ids[i[x]], ids[j[y]])
-        both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), ids.dtype)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+        by_id = np.argsort(ids, kind="stable")  # so that a root is the smallest id
+        place = np.empty(len(ids), np.int64)
+        place[by_id] = np.arange(len(ids))
+        root = spanning(place[i[x]], place[j[y]], len(ids))
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": ids[by_id][root[moved]], "b": ids[by_id][moved]})
 
     return run
 
 
-def list_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that meet in an inverted list and may reach the threshold.
+def open_lists(entries: DataFrame) -> DataFrame:
+    """Entries of the inverted lists that hold more than one component, with m, the length of their list.
 
-    entries: (value, id, n, least, comp, before, values), before being the entry in front of
-    `value` in the same class. Two classes with the same entry before met there already. Short
-    lists are joined with themselves. In a long list the classes with the most common
-    entry before need no comparison with each other; the others are compared with all, in blocks.
+    entries: (value, id, n, before, comp).
     """
     sizes = entries.groupBy("value").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("value", "m")
-    sizes = stage_table(sizes, "lists")
-    live = stage_table(entries.join(sizes, "value"), "live")
+    return stage_table(entries.join(stage_table(sizes, "lists"), "value"), "open")
+
+
+def short_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components in short lists whose sizes allow the threshold.
+
+    Two classes with the same entry before met in that entry's list already.
+    """
     short = live.where(F.col("m") <= SMALL_LIST).select("value", "id", "n", "comp", "before")
     other = short.select("value", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "comp", "before")))
     near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
     met = short.join(other, "value").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & near & (F.col("before") != F.col("before2")))
-    found = met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    long_ = live.where(F.col("m") > SMALL_LIST)
-    groups = long_.groupBy("value", "before").agg(F.count("*").alias("g"))
+    return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
+def long_cells(live: DataFrame) -> DataFrame:
+    """Pairs of blocks of the long lists: (value, i, j, first, second, id, comp, before).
+
+    Classes with the list's most common entry before need no comparison with each other; the
+    others are compared with all.
+    """
+    rows = live.where(F.col("m") > SMALL_LIST).select("value", "id", "comp", "before")
+    groups = rows.groupBy("value", "before").agg(F.count("*").alias("g"))
     common = groups.groupBy("value").agg(F.sum("g").alias("total"), F.max_by("before", F.struct("g", "before")).alias("usual"), F.max("g").alias("g"))
-    common = stage_table(common.where("g < total").select("value", "usual", F.ceil((F.col("total") - F.col("g")) / BLOCK).cast("int").alias("odd"), F.ceil(F.col("g") / BLOCK).cast("int").alias("even")), "long-lists")
-    if common.isEmpty():
-        return found
-    rows = long_.join(common, "value").withColumn("is_odd", F.col("before") != F.col("usual"))
-    block = F.pmod(F.xxhash64("id"), F.when(F.col("is_odd"), F.col("odd")).otherwise(F.col("even"))).cast("int")
-    # an odd class: its own block against each odd block from it on and each even one; other blocks against it
-    rows = rows.withColumn("block", block)
-    odds = F.transform(F.sequence(F.lit(0), F.col("odd") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j"), (F.col("block") <= x).alias("first"), (F.col("block") >= x).alias("second")))
-    evens = F.transform(F.sequence(F.lit(0), F.col("even") - 1), lambda x: F.struct(F.col("block").alias("i"), (-1 - x).alias("j"), F.lit(True).alias("first"), F.lit(False).alias("second")))
-    mine = F.transform(F.sequence(F.lit(0), F.col("odd") - 1), lambda x: F.struct(x.alias("i"), (-1 - F.col("block")).alias("j"), F.lit(False).alias("first"), F.lit(True).alias("second")))
+    common = stage_table(common.where("g < total").select("value", "usual", F.ceil((F.col("total") - F.col("g")) / BLOCK).cast("int").alias("odd"), F.ceil(F.col("g") / BLOCK).cast("int").alias("even")), "long")
+    rows = rows.join(common, "value").withColumn("is_odd", F.col("before") != F.col("usual"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("is_odd"), F.col("odd")).otherwise(F.col("even"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    cell = lambda i, j, first, second: F.struct(i.alias("i"), j.alias("j"), first.alias("first"), second.alias("second"))
+    yes, no, block = F.lit(True), F.lit(False), F.col("block")
+    odds = F.transform(upto("odd"), lambda x: cell(F.least(x, block), F.greatest(x, block), block <= x, block >= x))
+    evens = F.transform(upto("even"), lambda x: cell(block, -1 - x, yes, no))  # an even block is numbered below 0
+    mine = F.transform(upto("odd"), lambda x: cell(x, -1 - block, no, yes))
     rows = rows.withColumn("cell", F.explode(F.when(F.col("is_odd"), F.concat(odds, evens)).otherwise(mine)))
-    cells = rows.select("value", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.first").alias("first"), F.col("cell.second").alias("second"), "id", "n", "least", "comp", "before", "values")
-    blocks = cells.groupBy("value", "i", "j").applyInArrow(_block_pairs(percent), found.schema)
-    return found.unionAll(blocks).distinct()
+    return rows.select("value", "cell.i", "cell.j", "cell.first", "cell.second", "id", "comp", "before")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
@@ -217,30 +241,40 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     base = stage_table(sketches(df, id_col, text_col, width, k), "sketches")
     known = base.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = stage_table(known.groupBy("key1", "key2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
-    docs = prefix_entries(classes, k)
-    docs = stage_table(docs, "prefixes")
-    spread = docs.select("id", "n", "least", "values", "entries", F.posexplode("entries").alias("at", "value"))
-    before = F.when(F.col("at") > 0, F.get("entries", F.col("at") - 1)).otherwise(-1 - F.col("id"))  # unlike any other
-    entries = stage_table(spread.select("value", "id", "n", "least", before.alias("before"), "values"), "entries")
+    entries = stage_table(prefix_entries(classes, k), "entries")
+    sets_of = lambda wanted: whole_sets(wanted, df, id_col, text_col, width, broadcast_rows)
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         likely = stage_table(estimated(pairs, classes, k, 0.5), f"{name}-likely")
-        return stage_table(verified(likely, df, id_col, text_col, width, percent, broadcast_rows), f"{name}-links")
-
-    heads = stage_table(entries.groupBy("value").agg(F.min(F.struct("id", "n")).alias("head")).select("value", F.col("head.id").alias("a"), F.col("head.n").alias("n2")), "heads")
+        sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("_id")))
+        out = stage_table(verified(likely, sets, percent), f"{name}-links")
+        drop_tables(sets)
+        return out
+
+    # the most typical class of each list against all others
+    head = F.max_by(F.struct("id", "n"), F.struct("typical", -F.col("id")))
+    heads = stage_table(entries.groupBy("value").agg(head.alias("head")).select("value", F.col("head.id").alias("a"), F.col("head.n").alias("n2")), "heads")
     near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    first = stage_table(entries.select("value", F.col("id").alias("b"), "n").join(heads, "value").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "first")
+    first = entries.select("value", "id", "n").join(heads, "value").where((F.col("a") != F.col("id")) & near)
+    first = stage_table(first.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "first")
     links1 = links(first, "first")
     comps = stage_table(connected_components(links1, "first"), "first-components")
-    marked = entries.join(comps.select("id", "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    second = stage_table(list_pairs(marked, percent).join(first, ["a", "b"], "left_anti"), "second")
-    found = links1.unionAll(links(second, "second"))
+    # what is still apart
+    marked = entries.drop("typical").join(comps.select("id", "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    live = open_lists(marked)
+    found = links1.unionAll(links(stage_table(short_pairs(live, percent).join(first, ["a", "b"], "left_anti"), "second"), "second"))
+    cells = stage_table(long_cells(live), "cells")
+    if not cells.isEmpty():
+        sets = sets_of(cells.select(F.col("id").alias("_id")))
+        cells = cells.join(sets, cells["id"] == sets["_id"]).drop("_id")
+        far = cells.groupBy("value", "i", "j").applyInArrow(_block_links(percent), links1.schema)
+        found = found.unionAll(stage_table(far.distinct(), "far-links"))
     comps = connected_components(found, "all")
     mine = classes.select("key1", "key2", "n", "id").join(comps, "id", "left").select("key1", "key2", "n", F.coalesce("component", "id").alias("component"))
     mine = stage_table(mine, "class-components")
-    drop_tables(classes, docs, entries)
+    drop_tables(classes, entries)
     out = base.drop("sketch").join(mine, ["key1", "key2", "n"], "left")
-    own = F.coalesce("component", "id")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
 
 
