@@ -117,8 +117,8 @@ class Model:
         return float((w @ y + 0.01 * self.share) / (w.sum() + 0.01)), which, cosine
 
 
-def _sample_terms(sample: DataFrame, vocabulary: np.ndarray | None = None):
-    """(ids, y, document of each term, terms, counts) of the sampled documents, in the order of their ids; made on the executors."""
+def _sample_terms(sample: DataFrame, vocabulary: np.ndarray):
+    """(ids, y, document of each term, terms, counts) of the sampled documents over a vocabulary, in the order of their ids; made on the executors."""
 
     def run(batches):
         for batch in batches:
@@ -142,27 +142,39 @@ def _sample_terms(sample: DataFrame, vocabulary: np.ndarray | None = None):
     return [ids[k] for k in order], np.array(table.column("y").to_pylist(), np.int64), doc, terms.view(np.uint64), counts
 
 
-def choose_terms(terms: np.ndarray, y: np.ndarray, n0: int, n1: int, most: int, least: float) -> np.ndarray:
-    """The `most` terms that tell the labels apart best by the log-likelihood ratio of their document counts, of those over `least`.
+def term_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, documents with label 1, documents) of the sample's terms that three documents or more have; summed by Spark."""
 
-    terms and y: one entry for each term of each document.
-    """
-    key, at = np.unique(terms, return_inverse=True)
-    a = np.bincount(at, y, len(key))
-    b = np.bincount(at, 1 - y, len(key))
-    n, total = a + b, n0 + n1
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            rows, terms, _ = row_terms(texts.fill_null("") if texts.null_count else texts)
+            key, at = np.unique(terms, return_inverse=True)
+            ones = np.bincount(at, np.array(batch.column("y"))[rows], len(key)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ones), pa.array(np.bincount(at, minlength=len(key)))], ["term", "ones", "n"])
+
+    counted = sample.select("text", "y").mapInArrow(run, "term long, ones long, n long").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
+    table = counted.where("n >= 3").toArrow()
+    term, ones, n = (np.array(table.column(c).to_numpy()).astype(np.int64) for c in ("term", "ones", "n"))
+    return term.view(np.uint64), ones, n
+
+
+def choose_terms(terms: np.ndarray, ones: np.ndarray, n: np.ndarray, n0: int, n1: int, most: int, least: float) -> np.ndarray:
+    """The `most` terms that tell the labels apart best by the log-likelihood ratio of their document counts, of those over `least`; sorted."""
+    total = n0 + n1
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = sum(np.where(o > 0, o * np.log(o / e), 0) for o, e in ((a, n * n1 / total), (b, n * n0 / total), (n1 - a, (total - n) * n1 / total), (n0 - b, (total - n) * n0 / total)))
-    g = np.where(n >= 3, 2 * g, 0)
-    best = np.argsort(-g, kind="stable")[:most]
-    return np.sort(key[best[g[best] > least]])
+        cells = ((ones, n * n1 / total), (n - ones, n * n0 / total), (n1 - ones, (total - n) * n1 / total), (n0 - (n - ones), (total - n) * n0 / total))
+        g = 2 * sum(np.where(o > 0, o * np.log(o / e), 0) for o, e in cells)
+    best = np.lexsort((terms, -g))[:most]
+    return np.sort(terms[best[g[best] > least]])
 
 
 def fit(df: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000, examples: int = 6000, most_terms: int = 1500, k: int = 15, block: int = 64) -> Model:
     """Choose terms on at most `per_class` documents of each label and index at most `examples` of each (documented
     bounds). Document counts of the terms cover all texts."""
-    _, y, doc, terms, _ = _sample_terms(labelled_sample(df, labels, label, per_class, id_col=id_col, text_col=text_col))
-    vocabulary = choose_terms(terms, y[doc], int((y == 0).sum()), int((y == 1).sum()), most_terms, 28.0)
+    sample = labelled_sample(df, labels, label, per_class, id_col=id_col, text_col=text_col)
+    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    vocabulary = choose_terms(*term_counts(sample), sizes.get(0, 0), sizes.get(1, 0), most_terms, 28.0)
 
     def make():
         def fn(texts):
