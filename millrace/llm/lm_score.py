@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import field_type
 from millrace.llm.words import slices, spaced_words, text_bytes, words_of
 
+_HEAD = struct.Struct("<BQ")  # planes, numbers
 _ORDER = np.uint64(3)  # the two low bits of a key hold the order of its n-gram
 
 
@@ -27,25 +29,55 @@ def ngram_keys(words, order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, whole
 
 
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Whole numbers of at least 0, byte plane by byte plane, in as many planes as the largest needs, compressed."""
+    values = values.astype("<u8")
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return _HEAD.pack(width, len(values)) + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b"")
+
+
+def unpack_numbers(blob: bytes) -> np.ndarray:
+    width, n = _HEAD.unpack_from(blob)
+    full = np.zeros((n, 8), np.uint8)
+    if n:
+        raw = pa.decompress(blob[_HEAD.size :], decompressed_size=n * width, codec="zstd", asbytes=True)
+        full[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return full.view("<u8").ravel()
+
+
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as differences in as few bytes as the largest needs; the first byte tells how many."""
-    if not len(keys):
-        return b"\x08"
-    steps = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Sorted distinct keys, as differences."""
+    return pack_numbers(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    raw = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, :width] = raw
-    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(unpack_numbers(blob), dtype=np.uint64)
+
+
+def bundles(rows: DataFrame) -> DataFrame:
+    """(chunk, docs): the documents (id, text) of a batch that belong to one chunk, as compressed Arrow data."""
+
+    def run(batches):
+        for batch in batches:
+            chunk = np.array(batch.column("chunk"))
+            order = np.argsort(chunk, kind="stable")
+            docs = batch.select(["id", "text"]).take(pa.array(order))
+            names, starts = np.unique(chunk[order], return_index=True)
+            blobs = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(docs.slice(a, b - a))
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "docs"])
+
+    return rows.select("id", "text", "chunk").mapInArrow(run, "chunk int, docs binary")
 
 
-def _words(table: pa.Table):
-    return words_of(pa.concat_arrays(table.column("text").chunks) if table.num_rows else pa.array([], pa.string()), spaced_words())
+def opened(table: pa.Table) -> pa.Table:
+    """The documents (id, text) of a chunk's bundles."""
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in table.column("docs").to_pylist()]).combine_chunks()
 
 
 def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -61,7 +93,9 @@ class Chunk:
     """
 
     def __init__(self, table: pa.Table, orders: int, buckets: int):
-        self.words, self.orders, self.buckets = _words(table), orders, buckets
+        docs = opened(table)
+        self.ids, self.orders, self.buckets = docs.column("id"), orders, buckets
+        self.words = words_of(pa.concat_arrays(docs.column("text").chunks), spaced_words())
         self.at = np.arange(len(self.words.hash)) - np.repeat(self.words.first[:-1], np.diff(self.words.first))
         made = [ngram_keys(self.words, k) for k in range(1, min(orders, 2) + 1)]
         self.totals: list[np.ndarray] = []  # by order: the total at each position, 0 for what is not known
@@ -82,7 +116,7 @@ class Chunk:
                 "bucket": pa.array(some, pa.int32()),
                 "chunk": pa.array([chunk] * len(some), pa.int32()),
                 "keys": pa.array([pack(self.keys[x]) for x in spans], pa.binary()),
-                "counts": pa.array([self.counts[x].astype("<u4").tobytes() for x in spans], pa.binary()),
+                "counts": pa.array([pack_numbers(self.counts[x]) for x in spans], pa.binary()),
             }
         )
 
@@ -110,14 +144,14 @@ class Chunk:
 
 def pack_totals(total: np.ndarray) -> bytes:
     """Totals as a bit for each that is not 0, and those that are not."""
-    return np.packbits(total > 0).tobytes() + total[total > 0].astype("<u8").tobytes()
+    return np.packbits(total > 0).tobytes() + pack_numbers(total[total > 0])
 
 
 def unpack_totals(blob: bytes, n: int) -> np.ndarray:
     size = (n + 7) // 8
     known = np.unpackbits(np.frombuffer(blob, np.uint8, size), count=n).astype(bool)
     out = np.zeros(n, np.int64)
-    out[known] = np.frombuffer(blob, "<u8", offset=size).astype(np.int64)
+    out[known] = unpack_numbers(blob[size:]).astype(np.int64)
     return out
 
 
@@ -149,7 +183,7 @@ def _sum_bucket(least: int, level: int):
         keys = [unpack(b) for b in table.column("keys").to_pylist()]
         every = np.concatenate(keys)
         names, at = np.unique(every, return_inverse=True)
-        total = np.bincount(at, np.concatenate([np.frombuffer(b, "<u4") for b in table.column("counts").to_pylist()]), len(names)).astype(np.int64)
+        total = np.bincount(at, np.concatenate([unpack_numbers(b) for b in table.column("counts").to_pylist()]), len(names)).astype(np.int64)
         total[((names & _ORDER) != 1) & (total < least)] = 0
         back = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
         n = table.num_rows
@@ -203,9 +237,9 @@ def _score_chunk(orders: int, buckets: int, backoff: float, all_words: int):
             done |= known
             penalty += np.where(~done & (at >= k - 1), np.log(backoff), 0.0)
         score = np.where(done, score, np.log(np.maximum(totals[0], 1) / max(1, all_words)) + penalty)
-        sums = np.add.reduceat(np.append(score, 0.0), np.minimum(first[:-1], n)) if left.num_rows else np.empty(0)
+        sums = np.add.reduceat(np.append(score, 0.0), np.minimum(first[:-1], n))
         size = np.diff(first)
-        return pa.table({"id": left.column("id"), "n_words": pa.array(size, pa.int64()), "log_score": pa.array(np.where(size > 0, sums, 0.0), pa.float64())})
+        return pa.table({"id": chunk.ids, "n_words": pa.array(size, pa.int64()), "log_score": pa.array(np.where(size > 0, sums, 0.0), pa.float64())})
 
     return run
 
@@ -232,7 +266,7 @@ def lm_scores(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     size, n_words = corpus_size(rows)
     larger = max(1.0, math.sqrt(size / even_bytes))
     chunks, buckets = (max(1, math.ceil(size / (x * larger))) for x in (chunk_bytes, bucket_bytes))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
+    dealt = bundles(rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")))
     part = "bucket int, chunk int, keys binary, counts binary"
     back = "chunk int, level int, bucket int, totals binary"
     chunk = dealt.groupBy("chunk")
