@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.order import BLOCK, IDX, cumulative, framed, indexed, rolling, shifted
+from millrace.order import IDX, cumulative, framed, indexed, rolling, shifted
 
 __all__ = ["chunk_by", "chunks", "cumulative", "over", "rolling", "rolling_time", "shifted", "sliding"]
 
@@ -72,5 +72,3 @@ def rolling_time(df: DataFrame, time: str, period: str, *aggregates: Column, by:
     names = [f"_a{k}" for k in range(len(aggregates))]
     return df.withColumns({n: g.over(w) for n, g in zip(names, aggregates, strict=True)})
 
-
-assert BLOCK > 1

@@ -52,10 +52,6 @@ def indexed(df: DataFrame, order: Sequence[str | Column], name: str = IDX, rever
     return joined.withColumn(name, F.col("_before") + local).drop("_part", "_before").select(*rows.columns)
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
-
-
 def shifted(df: DataFrame, column: str, by: int, order: Sequence[str | Column], fill=None, name: str | None = None) -> DataFrame:
     """Value of `column` `by` rows before (negative: after) under `order`, `fill` outside; an equi-join on the position."""
     rows = indexed(df, order)
@@ -85,8 +81,9 @@ def cumulative(df: DataFrame, column: str, op: str, order: Sequence[str | Column
     return out.withColumn(name or f"cumulative_{op}_{column}", value).drop("_block", "_here", "_before")
 
 
-def framed(df: DataFrame, order: Sequence[str | Column], size: int, block: int = BLOCK) -> DataFrame:
+def framed(df: DataFrame, order: Sequence[str | Column], size: int, block: int | None = None) -> DataFrame:
     """Rows with `_block`, and copies (`_own` false) of the size - 1 rows before a block, so row frames of `size` fit in a block."""
+    block = block or BLOCK
     rows = indexed(df, order).withColumn("_block", F.floor(F.col(IDX) / block))
     last = (F.col("_block") + 1) * block - F.col(IDX) < size
     copies = F.when(last, F.array(F.col("_block"), F.col("_block") + 1)).otherwise(F.array(F.col("_block")))
