@@ -14,33 +14,40 @@ from millrace.llm.queries import vocab_path
 from millrace.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH_ROWS = 2000  # rows that pass to a Python worker at once; with whole texts, this bounds its memory
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents, to be handed to Python in small batches."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return docs.select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity scorer does not reject."""
-    scored = toxicity(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels"))
+    scored = toxicity(_documents(docs), read_table(spark, sf_dir, "labels"))
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality scorer does not reject."""
-    scored = quality(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels"))
+    scored = quality(_documents(docs), read_table(spark, sf_dir, "labels"))
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    return drop_near_duplicates(docs.select(*COLUMNS), width=5, percent=80)
+    return drop_near_duplicates(_documents(docs), width=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an overlap with a benchmark item."""
-    return drop_contaminated(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
+    return drop_contaminated(_documents(docs), read_table(spark, sf_dir, "benchmark"))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to the same text."""
-    coded = encode(docs.select("doc_id", "text"), vocab_path(), decode_too=True, keep_text=True)
+    coded = encode(_documents(docs).select("doc_id", "text"), vocab_path(), decode_too=True, keep_text=True)
     same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe_vocab import Vocabulary, chunk_words, chunks
 from millrace.llm.common import field_type
+from millrace.llm.words import slices
 
 
 def encode_words(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
@@ -21,59 +22,65 @@ def encode_words(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
     right symbol and enters the two pairs that it forms into the index. Entries whose symbols
     have changed meanwhile are skipped when their list is read.
     """
-    ranks, pairs, base, byte_ids = vocab.ranks, vocab.pairs, vocab.base, vocab.byte_ids
+    rank_of, pairs, base, byte_ids = vocab.ranks.get, vocab.pairs, vocab.base, vocab.byte_ids
     sym: list[int] = []
     after: list[int] = []
     starts = []
     for w in words:
         at = len(sym)
         starts.append(at)
-        sym.extend([byte_ids[b] for b in w])
-        after.extend(range(at + 1, at + len(w) + 1))
+        sym += [byte_ids[b] for b in w]
+        after += range(at + 1, at + len(w) + 1)
         if w:
             after[-1] = -1
     before = [-1] * len(sym)
     where: dict[int, list[int]] = {}  # rank of a pair -> positions where it starts
+    places_of = where.get
     for i, j in enumerate(after):
         if j >= 0:
             before[j] = i
-            rank = ranks.get(sym[i] * base + sym[j])
+            rank = rank_of(sym[i] * base + sym[j])
             if rank is not None:
-                if rank in where:
-                    where[rank].append(i)
-                else:
+                places = places_of(rank)
+                if places is None:
                     where[rank] = [i]
+                else:
+                    places.append(i)
     active = list(where)
     heapify(active)
     while active:
         rank = heappop(active)
         a, b, merged = pairs[rank]
         places = where.pop(rank)
-        places.sort()
+        if a == b:
+            places.sort()  # only such pairs can overlap; the leftmost goes first
+        high = merged * base
         for i in places:
             j = after[i]
             if sym[i] != a or j < 0 or sym[j] != b:
                 continue
             sym[i], sym[j] = merged, -1
             k = after[i] = after[j]
-            h = before[i]
             if k >= 0:
                 before[k] = i
-                rank = ranks.get(merged * base + sym[k])
+                rank = rank_of(high + sym[k])
                 if rank is not None:
-                    if rank in where:
-                        where[rank].append(i)
-                    else:
+                    there = places_of(rank)
+                    if there is None:
                         where[rank] = [i]
                         heappush(active, rank)
+                    else:
+                        there.append(i)
+            h = before[i]
             if h >= 0:
-                rank = ranks.get(sym[h] * base + merged)
+                rank = rank_of(sym[h] * base + merged)
                 if rank is not None:
-                    if rank in where:
-                        where[rank].append(h)
-                    else:
+                    there = places_of(rank)
+                    if there is None:
                         where[rank] = [h]
                         heappush(active, rank)
+                    else:
+                        there.append(h)
     out = []
     for at, w in zip(starts, words, strict=True):
         ids, i = [], at if w else -1
@@ -140,27 +147,14 @@ def decode_ids(ids: list[int], vocab: Vocabulary, skip_special: bool = False) ->
     return b"".join(map(vocab.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _slices(texts: list[str], chars: int) -> Iterator[list[str]]:
-    """Runs of texts of about `chars` characters together, one text at least."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= chars:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
-def encode(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False, keep_text: bool = False, memo: int = 300_000, batch_chars: int = 2_000_000) -> DataFrame:
+def encode(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False, keep_text: bool = False, memo: int = 100_000, batch_bytes: int = 2_000_000) -> DataFrame:
     """Encode every whole text.
 
     Returns (id_col, ids array<int>[, decoded string][, text_col]), one row per input row. With
     `decode_too` each list of ids is decoded again by the same task, which spares a second
     passage through Python. Null and empty texts give an empty list and an empty text; null
     ids and repeated rows are kept; other columns are ignored. No shuffle; memory is bounded
-    by `memo` pieces and `batch_chars` characters a step (one text at least).
+    by `memo` pieces and `batch_bytes` bytes of text a step (one text at least).
     """
     vocab = df.sparkSession.sparkContext.broadcast(Vocabulary.load(vocab_path))
     id_type = field_type(df, id_col)
@@ -168,15 +162,13 @@ def encode(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocab.value, memo)
         for batch in batches:
-            at = 0
-            for texts in _slices([t or "" for t in batch.column(1).to_pylist()], batch_chars):
-                ids = encoder.texts(texts)
-                columns = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32()))]
+            for part in slices(batch, "text", batch_bytes):
+                ids = encoder.texts([t or "" for t in part.column(1).to_pylist()])
+                columns = [part.column(0), pa.array(ids, pa.list_(pa.int32()))]
                 if decode_too:
                     columns.append(pa.array([decode_ids(x, vocab.value) for x in ids], pa.string()))
                 if keep_text:
-                    columns.append(batch.column(1).slice(at, len(texts)))
-                at += len(texts)
+                    columns.append(part.column(1))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["id", "ids"] + ["decoded"] * decode_too + ["text"] * keep_text

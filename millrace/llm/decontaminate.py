@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import field_type, mix64
-from millrace.llm.words import plain_words, slices, word_hashes, words_of, window_hashes
+from millrace.llm.common import field_type, mix64, small_enough, stage_table
+from millrace.llm.words import plain_words, slices, window_hashes, words_of
 
 #: Fixed masks: positions that count, out of spans of 9 to 11 words. Any two substitutions in 13 words leave one whole.
 MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 5, 6, 8), (0, 2, 3, 7, 9, 10))
@@ -163,10 +163,12 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """`df` without documents that overlap a benchmark item; rows with a null id are kept only if their text is clean.
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", broadcast_rows: int = 2_000_000, **options) -> DataFrame:
+    """`df` without documents that overlap a benchmark item; rows with a null id go if any text with a null id overlaps.
 
-    The hits are a small share of the documents; Spark picks the join from their size.
+    Ids of hits are broadcast only if they are few; else Spark joins by shuffle.
     """
     hits = contaminated(df, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_hit")).distinct()
+    hits = stage_table(hits, "hits")
+    hits = F.broadcast(hits) if small_enough(hits, broadcast_rows) else hits
     return df.join(hits, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")

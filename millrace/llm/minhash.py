@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import drop_tables, mix64, small_enough, stage_table
 from millrace.llm.components import connected_components, spanning
-from millrace.llm.words import map_texts, slices, spaced_words, window_hashes, words_of
+from millrace.llm.words import map_texts, spaced_words, window_hashes, words_of
 
 SMALL_LIST = 32  # longer inverted lists are compared in blocks
 BLOCK = 256  # documents; a task holds the sets of two blocks
@@ -132,13 +132,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union."""
 
     def run(batches):
-        for batch in batches:
-            sizes = [np.array(batch.column(c).value_lengths()).astype(np.int64) for c in ("sa", "sb")]
-            both = _intersections(batch.column("sa"), batch.column("sb"))
-            keep = 100 * both >= percent * (sizes[0] + sizes[1] - both)
-            out = batch.select(["a", "b"]).filter(pa.array(keep & (both > 0)))
-            if out.num_rows:
-                yield out
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sizes = [np.array(batch.column(c).value_lengths()).astype(np.int64) for c in ("sa", "sb")]
+                both = _intersections(batch.column("sa"), batch.column("sb"))
+                keep = 100 * both >= percent * (sizes[0] + sizes[1] - both)
+                out = batch.select(["a", "b"]).filter(pa.array(keep & (both > 0)))
+                if out.num_rows:
+                    yield out
 
     met = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     return met.select("a", "b", "sa", "sb").mapInArrow(run, pairs.select("a", "b").schema)
