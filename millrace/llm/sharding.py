@@ -116,8 +116,8 @@ def write_shards(df: DataFrame, path: str) -> None:
 
 
 def shard_digest(documents: DataFrame, n_shards: int = 40, **options) -> DataFrame:
-    """The digest of a sharding of documents: see `shard`. Null texts have size 16 and the checksum of no bytes."""
+    """The digest of a sharding of whole documents: see `shard`. Sizes and checksums are those of the sharded texts. Null texts have size 16 and the checksum of no bytes."""
+    out = shard(documents, n_shards, **options)
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
-    narrow = documents.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
-    out = shard(narrow, n_shards, **options)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32")
+    return out.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -9,8 +9,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import license_scan as lic
+from millrace.llm import sharding
 from millrace.llm.decontaminate import Index, Rules, contaminated, drop_contaminated, overlap
 from millrace.llm.lm_score import lm_scores, pack, unpack
 from millrace.llm.queries import oracle_sql, op5_stupid_backoff
@@ -42,6 +44,20 @@ def test_fewer_rows_than_shards_and_none(spark):
     assert shard(documents(spark, ODD).limit(0), 5).count() == 0
 
 
+def test_the_digest_is_of_sharded_texts(spark, monkeypatch):
+    seen = []
+
+    def spy(df, *args, **options):
+        seen.append(df.columns)
+        return shard(df, *args, **options).withColumn("text", F.concat("text", F.lit("!")))
+
+    monkeypatch.setattr(sharding, "shard", spy)
+    df = documents(spark, [(1, "é" * 300_000), (2, "b")])
+    got = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in shard_digest(df, 3).collect()}
+    assert seen == [df.columns]  # whole documents
+    assert got == {i: (len(t) + 16, zlib.crc32(t)) for i, t in ((1, ("é" * 300_000 + "!").encode()), (2, b"b!"))}
+
+
 def test_hypergeometric_has_its_law():
     rng = random.Random(1)
     n = 20_000
