@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +15,14 @@ from pyspark.sql import types as T
 from millrace.llm.common import field_type, mix64, small_enough, stage_table
 from millrace.llm.words import plain_words, slices, window_hashes, words_of
 
-#: Fixed masks: positions that count, out of spans of 9 to 11 words. Any two substitutions in 13 words leave one whole.
-MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 5, 6, 8), (0, 2, 3, 7, 9, 10))
+#: Fixed masks: positions that count. (unequal words at most, words at least, masks): every choice of so many unequal words in
+#: a window of so many words or more leaves one mask whole at some start; a test enumerates them.
+MASKS = (
+    (1, 6, ((0, 1, 2, 3), (0, 1, 3, 4))),
+    (1, 5, ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))),
+    (2, 13, ((0, 1, 2, 4, 7, 8), (0, 1, 3, 5, 6, 8), (0, 2, 3, 7, 9, 10), (0, 1, 2, 3, 4, 5))),
+    (2, 10, ((0, 2, 5, 6, 7), (0, 1, 2, 3, 5), (0, 1, 4, 5, 7))),
+)
 
 
 @dataclass
@@ -24,12 +31,22 @@ class Rules:
     share: float = 0.8  # of these that must be equal
 
 
-def seeds(h: np.ndarray, masks=MASKS) -> list[tuple[int, np.ndarray]]:
-    """(mask number, hash at each start) of a row of word hashes. Rows too short for every mask give one seed of all their words."""
-    out = [(k, mix64(window_hashes(h, m) ^ np.uint64(k + 1))) for k, m in enumerate(masks) if len(h) > m[-1]]
-    if not out and len(h):
-        out = [(-len(h), mix64(window_hashes(h, tuple(range(len(h)))) ^ np.uint64(1 << 32)))]
-    return out
+def masks_of(n: int, rules: Rules) -> tuple[tuple[int, ...], ...]:
+    """Masks for an item of `n` words: whatever words the rules allow to differ in a window, one mask is whole in it."""
+    width = min(rules.window, n)
+    unequal = width - max(1, math.ceil(rules.share * width - 1e-9))
+    if unequal:
+        for most, least, masks in MASKS:
+            if most == unequal and width >= least:
+                return masks
+    run = -(-(width - unequal) // (unequal + 1))  # the longest run of equal words has this many at least
+    return (tuple(range(run)),)
+
+
+def seeds(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+    """Hash of the words of a mask at each start in a row of word hashes; masks of other positions give other hashes."""
+    salt = np.uint64(hash(mask) & 0xFFFFFFFFFFFFFFFF)  # a tuple of numbers has the same hash in every process
+    return mix64(window_hashes(h, mask) ^ salt)
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int, rules: Rules) -> tuple[int, int, int] | None:
@@ -50,15 +67,15 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, rules: Rules) -> tupl
 class Index:
     """Seeds of a benchmark that fits a broadcast; sorted, with a bit table in front."""
 
-    def __init__(self, items: list[tuple[object, str]], masks=MASKS):
+    def __init__(self, items: list[tuple[object, str]], rules: Rules = Rules()):
         self.ids = [i for i, _ in items]
         words = words_of(pa.array([t for _, t in items], pa.string()), plain_words())
         self.words = [words.hash[words.first[k] : words.first[k + 1]] for k in range(len(items))]
-        keys, where, at, self.short = [], [], [], {}
+        keys, where, at, used = [], [], [], set()
         for k, h in enumerate(self.words):
-            for mask, x in seeds(h, masks):
-                if mask < 0:
-                    self.short.setdefault(-mask, True)
+            for mask in masks_of(len(h), rules) if len(h) else ():
+                x = seeds(h, mask)
+                used.add(mask)
                 keys.append(x)
                 where.append(np.full(len(x), k))
                 at.append(np.arange(len(x)))
@@ -71,14 +88,13 @@ class Index:
         self.mask = np.uint64((1 << bits) - 1)
         self.low = np.zeros(1 << bits, bool)
         self.low[(self.keys & self.mask).astype(np.int64)] = True
-        self.masks = masks
+        self.masks = sorted(used)
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions in h, positions in the sorted seeds) of all equal seeds."""
-        spots, keys = [], []
-        made = [(k, m) for k, m in enumerate(self.masks)] + [(-n, tuple(range(n))) for n in sorted(self.short)]
-        for k, m in made:
-            x = mix64(window_hashes(h, m) ^ np.uint64(k + 1 if k >= 0 else 1 << 32))
+        spots, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for mask in self.masks:
+            x = seeds(h, mask)
             at = np.flatnonzero(self.low[(x & self.mask).astype(np.int64)])
             lo, hi = np.searchsorted(self.keys, x[at]), np.searchsorted(self.keys, x[at], "right")
             n = hi - lo
@@ -110,8 +126,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     One row for each (document, item) with a verified overlap: an alignment in which some
     window of `window` item words (the whole item, if shorter) has at least `share` equal
-    words at equal distances. Seeds of the masks find alignments; nothing is sampled. An item
-    shorter than every mask is found where all its words stand. Case and punctuation do not
+    words at equal distances. Seeds of the masks find every such alignment, and nothing is sampled:
+    the masks of an item go by its length, so that one is whole under all unequal words that
+    the rules allow. Case and punctuation do not
     count. Null or empty texts and items overlap with nothing; rows with a null id are
     compared like others; repeated rows give repeated results; other columns are ignored.
 
@@ -127,7 +144,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
 
     def block_pass(block: list[tuple[object, str]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(Index(block))
+        index = spark.sparkContext.broadcast(Index(block, rules))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

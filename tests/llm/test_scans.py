@@ -1,5 +1,6 @@
 """Operators 4, 5, 7 and 9 against brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import license_scan as lic
 from millrace.llm import sharding
-from millrace.llm.decontaminate import Index, Rules, contaminated, drop_contaminated, overlap
+from millrace.llm.decontaminate import Index, Rules, contaminated, drop_contaminated, masks_of, overlap
 from millrace.llm.lm_score import lm_scores, pack, unpack
 from millrace.llm.queries import oracle_sql, op5_stupid_backoff
 from millrace.llm.sharding import communication_matrix, hypergeometric, shard, shard_digest, write_shards
@@ -221,3 +222,29 @@ def test_any_one_substitution_in_a_window_is_found():
         doc = item.copy()
         doc[a] ^= np.uint64(1)
         assert len(index.hits(doc)[0]), a
+
+
+@pytest.mark.parametrize("rules", [Rules(), Rules(window=9), Rules(share=0.7), Rules(window=20, share=0.9), Rules(share=1.0)])
+def test_every_allowed_substitution_has_a_seed(rules):
+    for n in range(1, 22):
+        width = min(n, rules.window)
+        most = width - math.ceil(rules.share * width - 1e-9)
+        starts = [{s + p for p in m} for m in masks_of(n, rules) for s in range(width - m[-1])]
+        for bad in itertools.combinations(range(width), most):
+            assert any(s.isdisjoint(bad) for s in starts), (n, bad)
+
+
+def test_overlaps_equal_brute_force(spark):
+    rnd = random.Random(19)
+    items = [(n, " ".join(f"i{n}w{k % (n - 1 or 1)}" for k in range(n))) for n in (*range(1, 16), 30)]
+    rows = []
+    for n, t in items:
+        t, rules = t.split(), Rules()
+        width = min(13, n)
+        for bad in itertools.combinations(range(width), width - math.ceil(0.8 * width - 1e-9)):
+            leak = ["zz" if k in bad else w for k, w in enumerate(t[:width])]
+            rows.append((len(rows), " ".join([*(f"x{k}" for k in range(rnd.randrange(4))), *leak, "end"])))
+    got = {(r["doc_id"], r["item_id"]): (r["best_window"], r["n_equal"], r["first_word"]) for r in contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    held = [(i, hashes(t)) for i, t in items]
+    want = {(d, i): o for d, t in rows for h in [hashes(t)] for i, item in held if (o := brute_overlap(h, item, rules))}
+    assert len(want) >= len(rows) and got == want
