@@ -43,11 +43,12 @@ TEMPLATES = (
 class Template:
     label: str
     tokens: frozenset[int]  # hashes of the distinct words
+    size: int  # words
 
 
 def templates(texts=TEMPLATES) -> list[Template]:
     words = words_of(pa.array([t for _, t in texts], pa.string()), plain_words())
-    return [Template(label, frozenset(words.hash[words.first[k] : words.first[k + 1]].tolist())) for k, (label, _) in enumerate(texts)]
+    return [Template(label, frozenset(words.hash[words.first[k] : words.first[k + 1]].tolist()), int(words.first[k + 1] - words.first[k])) for k, (label, _) in enumerate(texts)]
 
 
 def word_blocks(batch: pa.RecordBatch, text: str):
@@ -58,6 +59,13 @@ def word_blocks(batch: pa.RecordBatch, text: str):
     return words, np.searchsorted(breaks, words.start, "right")
 
 
+def line_breaks(words, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words that start a line right after another line with words, words that start a paragraph). A line without words, or a new row, ends a paragraph."""
+    step = np.diff(block, prepend=-2)
+    step[words.first[:-1][np.diff(words.first) > 0]] = 2
+    return np.flatnonzero(step == 1), np.flatnonzero(step > 1)
+
+
 def token_order(df: DataFrame, text_col: str, wanted: list[Template]) -> dict[int, int]:
     """How many words of the whole corpus equal each template token. The result has one entry per template token, however large the corpus."""
     tokens = np.array(sorted({t for x in wanted for t in x.tokens}), np.uint64)
@@ -126,6 +134,39 @@ class Matcher:
         return found
 
 
+    def wrapped(self, h: np.ndarray, breaks: np.ndarray, paragraphs: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float]]:
+        """(template, start of the last stretch with all its words, containment) of templates that run over line breaks.
+
+        The block of a break and a template holds as many words on either side as the template has, in
+        one paragraph: every wrapped notice of that many words lies in the block of any break inside it.
+        `at` has the positions of prefix tokens. Of blocks that overlap, the fullest is returned.
+        """
+        found: dict[tuple[int, int], tuple[float, int, int]] = {}
+        ends = np.append(paragraphs, len(h))
+        tried = set()
+        for p in at.tolist():
+            for k, _ in self.prefix[int(h[p])]:
+                n = self.wanted[k].size
+                for e in breaks[np.searchsorted(breaks, p - n, "right") : np.searchsorted(breaks, p + n, "right")].tolist():
+                    if (k, e) in tried:
+                        continue
+                    tried.add((k, e))
+                    j = int(np.searchsorted(ends, e, "right"))
+                    lo, hi = max(e - n, int(ends[j - 1])), min(e + n, int(ends[j]))
+                    tokens = h[lo:hi].tolist()
+                    common = len(self.wanted[k].tokens.intersection(tokens))
+                    if common >= self.need[k]:
+                        last = {t: q for q, t in enumerate(tokens) if t in self.wanted[k].tokens}
+                        found[k, e] = common / len(self.sorted[k]), lo + min(last.values()), hi
+        out: list[tuple[int, int, float]] = []
+        taken: list[tuple[int, int, int]] = []
+        for (k, _), (share, lo, hi) in sorted(found.items(), key=lambda x: (-x[1][0], x[0])):
+            if not any(k == t and lo < z and a < hi for t, a, z in taken):
+                taken.append((k, lo, hi))
+                out.append((k, lo, share))
+        return out
+
+
 def _phrase_places(words, phrases: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each phrase: (rows, word positions in the row) of all its places."""
     h, first = words.hash, words.first
@@ -142,13 +183,15 @@ def _phrase_places(words, phrases: list[np.ndarray]) -> list[tuple[np.ndarray, n
 
 
 def license_scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, phrases=PHRASES, texts=TEMPLATES) -> DataFrame:
-    """Scan every whole text for licence phrases and for blocks (lines) like licence notices.
+    """Scan every whole text for licence phrases and for blocks like licence notices: lines, and
+    the words around each line break inside a paragraph, so that a hard-wrapped notice is found.
 
     Returns, per input row: id_col, n_words, n_base (places of all phrases), first_word and
     last_word (smallest and largest start, null without a place), base_labels, labels
     (phrase and template labels, distinct, sorted, comma-joined), score (1 with a phrase, else the
     largest containment found, else 0) and blocks (template label, block number, first word,
-    containment of every block at or over `threshold`). Null and empty texts have no words and
+    containment of every block at or over `threshold`; for a notice over several lines the line and
+    place where its words start, unless one of its lines has as much). Null and empty texts have no words and
     empty label strings; null ids and repeated rows are kept; other columns are ignored.
     The word order comes from one count over the whole corpus; templates are a fixed list,
     so all that is broadcast has a fixed size.
@@ -173,11 +216,19 @@ def license_scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                         places[r].append(p)
                         base[r].add(label)
                 found: list[list[dict]] = [[] for _ in range(n)]
-                for b in np.unique(block[matcher.hits(words.hash)]).tolist():
+                at = matcher.hits(words.hash)
+                for b in np.unique(block[at]).tolist():
                     k0, k1 = np.searchsorted(block, b), np.searchsorted(block, b, "right")
                     r = int(np.searchsorted(words.first, k0, "right")) - 1
                     for k, share in matcher.block(words.hash[k0:k1].tolist()):
                         found[r].append({"label": wanted[k].label, "block": int(b - block[words.first[r]]), "word": int(k0 - words.first[r]), "containment": share})
+                breaks, paragraphs = line_breaks(words, block)
+                for k, w, share in matcher.wrapped(words.hash, breaks, paragraphs, at):
+                    r = int(np.searchsorted(words.first, w, "right")) - 1
+                    b, n_words = int(block[w] - block[words.first[r]]), wanted[k].size
+                    label, w = wanted[k].label, int(w - words.first[r])
+                    if not any(x["label"] == label and x["containment"] >= share and b <= x["block"] and x["word"] < w + 2 * n_words for x in found[r]):
+                        found[r].append({"label": label, "block": b, "word": w, "containment": share})
                 score = [1.0 if places[r] else max((x["containment"] for x in found[r]), default=0.0) for r in range(n)]
                 columns = [
                     part.column("id"),

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -167,6 +168,22 @@ def test_license_scan(spark):
     assert lic.license_scan(documents(spark, ODD).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("columns", [24, 72, 80])
+def test_wrapped_notices_are_found(spark, columns):
+    rows, want = [(-1, "\n".join(["Permission to use, copy, modify, and/or distribute", "", "this software for any purpose with or without fee is hereby granted"]))], {-1: ""}
+    for k, (label, t) in enumerate(lic.TEMPLATES):
+        for mark, before in (("", ""), ("# ", "# Copyright 2020 by the people of zz\n"), (" * ", "/*\n * zz zz\n *\n")):
+            rows.append((100 * k + len(before), before + textwrap.fill(t, columns, initial_indent=mark, subsequent_indent=mark) + "\n zz\n"))
+            want[rows[-1][0]] = label
+    got = {r["doc_id"]: r for r in lic.license_scan(documents(spark, [(i, t) for i, (_, t) in enumerate(rows)])).collect()}
+    for i, (key, t) in enumerate(rows):
+        labels = {}
+        for x in got[i]["blocks"]:
+            labels[x["label"]] = max(x["containment"], labels.get(x["label"], 0))
+        assert labels.get(want[key], 0) == 1.0 if want[key] else labels == {}, (t, labels)
+        assert got[i]["score"] == (1.0 if want[key] else 0.0) and all(x["word"] >= 0 and x["block"] >= 0 for x in got[i]["blocks"])
+
+
 # -- 9: decontamination -------------------------------------------------------------------
 
 
