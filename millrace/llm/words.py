@@ -76,7 +76,7 @@ def window_hashes(h: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
 
 
 def _segment(d: np.ndarray, breaks: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, hashes of the words of d and of their first `prefix` bytes; a word never crosses a position in `breaks`."""
+    """Starts, ends, polynomials of the words of d and of their first `prefix` bytes; a word never crosses a position in `breaks`."""
     up, down, letters = _powers()
     on = d != 0
     begin = on.copy()
@@ -93,11 +93,11 @@ def _segment(d: np.ndarray, breaks: np.ndarray, prefix: int = 0) -> tuple[np.nda
         h = (total[end] - total[start]) * down[start]
         head = np.minimum(end, start + prefix)
         g = (total[head] - total[start]) * down[start] if prefix else h[:0]
-        return start, end, mix64(h + (end - start).astype(np.uint64)), mix64(g ^ np.uint64(prefix << 56)) if prefix else g
+        return start, end, h, g
 
 
 def _cuts(d: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of at most SEGMENT bytes that end at a row's end or a separator. A longer word is cut."""
+    """Ranges of at most SEGMENT bytes that end at a row's end or a separator. A longer word is cut, and words_of joins its pieces."""
     at, n = 0, len(d)
     while at < n:
         to = min(n, at + SEGMENT)
@@ -137,9 +137,21 @@ def words_of(column: pa.Array, table: np.ndarray, prefix: int = 0) -> Words:
     for at, to in _cuts(d, rows):
         breaks = rows[np.searchsorted(rows, at) : np.searchsorted(rows, to)] - at
         s, e, h, g = _segment(d[at:to], breaks, prefix)
-        parts.append((s + at, e + at, h, g))
+        s, e = s + at, e + at
+        if at and d[at - 1] and d[at] and rows[np.searchsorted(rows, at)] != at:  # the cut is inside a word
+            _, ends, sums, heads = parts[-1]
+            start = int(parts[-1][0][-1])
+            sums[-1] = (int(sums[-1]) + int(h[0]) * pow(_R, at - start, 1 << 64)) & 0xFFFFFFFFFFFFFFFF
+            if at - start < prefix:
+                heads[-1] = _segment(d[start : min(int(e[0]), start + prefix)], np.zeros(1, np.int64), prefix)[3][0]
+            ends[-1] = e[0]
+            s, e, h, g = s[1:], e[1:], h[1:], g[1:]
+        if len(s):
+            parts.append((s, e, h, g))
     empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
     start, end, h, head = (np.concatenate(x) for x in zip(*(parts or [empty]), strict=True))
+    h = mix64(h + (end - start).astype(np.uint64))
+    head = mix64(head ^ np.uint64(prefix << 56)) if prefix else head
     return Words(d, start, end, h, np.searchsorted(start, rows), head)
 
 

@@ -50,3 +50,38 @@ def test_sliced_arrays_and_single_words():
     assert got.first.tolist() == [0, 2, 3]
     assert w.word_hashes(["a", "a b", ""], w.spaced_words())[0] == got.hash[0]
     assert w.word_hashes(["a", "a b", ""], w.spaced_words())[1:].tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("segment", [8, 64, 1 << 10])
+@pytest.mark.parametrize("table", [w.spaced_words, w.plain_words])
+def test_words_longer_than_a_segment(monkeypatch, segment, table):
+    rnd = random.Random(segment)
+    long = "x7" * 700
+    rows = [*texts(), long, " " + long + long, "a " + long + " " + "漢字" * 2000 + " b", "漢字" * 2000, "y" * segment, "z" * segment + " q", "y" * segment, "y" * 2 * segment, "y" * 3 * segment]
+    rows += ["".join(rnd.choice("ab é漢") for _ in range(rnd.randrange(3 * segment))) for _ in range(50)]
+    w._powers.cache_clear()
+    whole = w.words_of(pa.array(rows), table(), prefix=5)
+    w._powers.cache_clear()
+    monkeypatch.setattr(w, "SEGMENT", segment)
+    got = w.words_of(pa.array(rows), table(), prefix=5)
+    w._powers.cache_clear()
+    for name in ("start", "end", "hash", "first", "head"):
+        assert getattr(got, name).tolist() == getattr(whole, name).tolist(), name
+
+
+def test_a_word_of_several_segments_is_one_word(spark):
+    from millrace.llm.license_scan import license_scan
+    from millrace.llm.lm_score import lm_scores
+    from millrace.llm.minhash import near_duplicates
+
+    from .helpers import documents
+
+    w._powers.cache_clear()
+    long = "漢字" * 60_000
+    got = w.words_of(pa.array(["a " + long, long + " b", "q" * 1_000_000]), w.spaced_words())
+    assert np.diff(got.first).tolist() == [2, 2, 1]
+    assert got.hash[1] == got.hash[2]
+    df = documents(spark, [(1, long), (2, "b " + long + "\n" + "q" * 1_000_000)])
+    assert {r["doc_id"]: r["n_words"] for r in license_scan(df).collect()} == {1: 1, 2: 3}
+    assert {r["doc_id"]: r["n_words"] for r in lm_scores(df).collect()} == {1: 1, 2: 3}
+    assert {r["doc_id"]: r["n_shingles"] for r in near_duplicates(df, width=4).collect()} == {1: 1, 2: 1}
