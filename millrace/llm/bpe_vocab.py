@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import regex
 
 #: The word pattern of byte-level BPE vocabularies of this family (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _words = regex.compile(PATTERN).findall
-_lone_space = re.compile(r"(?<=\S) (?=\S)").split
-_odd_space = re.compile(r" \s|\s ").search
 
 
 def byte_symbols() -> dict[str, int]:
@@ -35,6 +33,21 @@ class Vocabulary:
     byte_ids: list[int]  # byte -> id
     specials: dict[str, int] = field(default_factory=dict)
 
+    def __post_init__(self):
+        """The same as arrays."""
+        self.byte_table = np.array(self.byte_ids, np.int32)
+        keys = np.fromiter(self.ranks, np.int64, len(self.ranks))
+        order = np.argsort(keys)
+        self._keys, self._ranks = keys[order], np.fromiter(self.ranks.values(), np.int64, len(keys))[order]
+        pair = self.byte_table.astype(np.int64)
+        self.byte_ranks = self.rank_array(pair[:, None] * self.base + pair[None, :])
+
+    def rank_array(self, keys: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, given as left id * base + right id; -1 where a pair is none."""
+        at = np.searchsorted(self._keys, keys)
+        at[at == len(self._keys)] = 0
+        return np.where(self._keys[at] == keys, self._ranks[at], -1) if len(self._keys) else np.full(keys.shape, -1)
+
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
         """Read a tokenizers .json file with a byte-level BPE model and no normaliser."""
@@ -63,29 +76,12 @@ class Vocabulary:
             byte_ids[b] = vocab[s]
         return cls(tokens, ranks, pairs, base, byte_ids, specials)
 
-    def sections(self, text: str) -> list[tuple[str, int]]:
-        """The text cut at special strings: (plain text, id of the special string after it or -1)."""
-        if not any(s in text for s in self.specials):
-            return [(text, -1)]
-        cut = re.split("(" + "|".join(sorted(map(re.escape, self.specials), key=len, reverse=True)) + ")", text)
-        return [(cut[k], self.specials[cut[k + 1]] if k + 1 < len(cut) else -1) for k in range(0, len(cut), 2)]
-
-
-def chunks(text: str) -> list[str]:
-    """Cut a text before every space that stands alone between two other characters.
-
-    The pattern always starts a word there, so the words of the chunks, in order, are the
-    words of the text. All chunks but the first lose that space; see `chunk_words`.
-    """
-    return _lone_space(text) if _odd_space(text) else text.split(" ")
-
 
-def chunk_words(chunk: str, first: bool = False) -> list[str]:
-    """The words of a chunk. Letters alone, or with one closing mark, need no pattern search."""
-    if not first:
-        if chunk.isalpha():
-            return [" " + chunk]
-        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
-            return [" " + chunk[:-1], chunk[-1]]
-        chunk = " " + chunk
-    return _words(chunk)
+def piece_words(piece: str) -> list[str]:
+    """The words of a piece. Letters alone, or with one closing mark, need no pattern search."""
+    body = piece[1:] if piece[0] == " " else piece
+    if body.isalpha():
+        return [piece]
+    if body[-1:] in (",", ".") and body[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return _words(piece)

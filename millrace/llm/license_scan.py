@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import field_type
-from millrace.llm.words import plain_words, slices, text_bytes, word_hashes, words_of
+from millrace.llm.words import merged, plain_words, slices, text_bytes, word_hashes, words_of
 
 #: Phrases and their labels.
 PHRASES = (
@@ -55,7 +55,7 @@ def word_blocks(batch: pa.RecordBatch, text: str):
     """Words of a batch, and for each word the number of its block. A block is a line; a row starts a new one."""
     raw, rows = text_bytes(batch.column(text))
     words = words_of(batch.column(text), plain_words())
-    breaks = np.union1d(np.flatnonzero(raw == 10), rows)
+    breaks = merged(np.flatnonzero(raw == 10), rows)
     return words, np.searchsorted(breaks, words.start, "right")
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe_vocab import Vocabulary, chunk_words, chunks
+from millrace.llm.bpe_vocab import Vocabulary, piece_words
 from millrace.llm.common import field_type
+from millrace.llm.pieces import Memo, Pieces
+from millrace.llm.words import slices
 
 
 def merged_length(word: bytes, vocab: Vocabulary) -> int:
@@ -54,37 +57,34 @@ def merged_length(word: bytes, vocab: Vocabulary) -> int:
     return left
 
 
-class _Bounded(dict):
-    """A memo that is emptied when it reaches `limit` entries."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 class _Counter:
-    """Token counts of texts; remembers at most `limit` words and `limit` chunks."""
+    """Token counts of texts; remembers at most about `limit` words and `limit` pieces."""
 
     def __init__(self, vocab: Vocabulary, limit: int):
-        self.vocab = vocab
-        self.words = _Bounded(lambda w: merged_length(w.encode("utf-8", "surrogatepass"), vocab), limit)
-        self.chunks = _Bounded(lambda c: sum(map(self.words.__getitem__, chunk_words(c))), limit)
+        self.vocab, self.limit = vocab, limit
+        self.words: dict[str, int] = {}
+        self.pieces = Memo(self._counts, limit)
+
+    def _word(self, word: str) -> int:
+        n = self.words.get(word)
+        if n is None:
+            if len(self.words) >= self.limit:
+                self.words.clear()
+            n = self.words[word] = merged_length(word.encode("utf-8", "surrogatepass"), self.vocab)
+        return n
+
+    def _counts(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        n = [1 if p in self.vocab.specials else sum(map(self._word, piece_words(p))) for p in pieces]
+        return np.array(n, np.int64), np.ones(len(n), np.int64)
+
+    def column(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; a special string inside a text is one token, null has none."""
+        n, rows = self.pieces.of(Pieces(texts, self.vocab.specials))
+        upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        return np.diff(upto[rows])
 
     def text(self, text: str) -> int:
-        total = 0
-        for plain, special in self.vocab.sections(text):
-            if plain:
-                parts = chunks(plain)
-                total += sum(map(self.words.__getitem__, chunk_words(parts[0], first=True)))
-                total += sum(map(self.chunks.__getitem__, parts[1:]))
-            total += special >= 0
-        return total
+        return int(self.column(pa.array([text], pa.string()))[0])
 
 
 def token_counts(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, memo: int = 500_000) -> DataFrame:
@@ -93,7 +93,7 @@ def token_counts(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text
     Returns (id_col, n_bytes long, n_tokens long, over_limit boolean), one row per input row.
     Null and empty texts count 0; null ids are kept as they are; repeated rows stay repeated;
     other columns of the input are ignored, whatever their names. No shuffle. `memo` bounds
-    the distinct words and space-free pieces that a Python worker remembers.
+    the distinct words and pieces that a Python worker remembers.
     """
     vocab = df.sparkSession.sparkContext.broadcast(Vocabulary.load(vocab_path))
     id_type = field_type(df, id_col)
@@ -101,8 +101,8 @@ def token_counts(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo_ = _Counter(vocab.value, memo)
         for batch in batches:
-            n = [memo_.text(t) if t else 0 for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            for part in slices(batch, "text", 2_000_000):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(memo_.column(part.column(2)), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))

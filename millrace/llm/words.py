@@ -129,22 +129,32 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(at[-1] - at[0]), int(at[0])), at - at[0]
 
 
-def words_of(column: pa.Array, table: np.ndarray, prefix: int = 0) -> Words:
-    """All words of a string column under a byte table; with `prefix`, also the hashes of that many leading bytes."""
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct numbers of two arrays, sorted."""
+    both = np.sort(np.concatenate([a, b]))
+    return both[np.diff(both, prepend=-1) != 0]
+
+
+def words_of(column: pa.Array, table: np.ndarray, prefix: int = 0, cut=None) -> Words:
+    """All words of a string column under a byte table; with `prefix`, also the hashes of that many leading bytes.
+
+    `cut(raw, rows)` may give further positions where a word ends, given the bytes and the offsets of the rows.
+    """
     raw, rows = text_bytes(column)
     d = table[raw]
+    ends = rows if cut is None else merged(rows, cut(raw, rows))
     parts = []
-    for at, to in _cuts(d, rows):
-        breaks = rows[np.searchsorted(rows, at) : np.searchsorted(rows, to)] - at
+    for at, to in _cuts(d, ends):
+        breaks = ends[np.searchsorted(ends, at) : np.searchsorted(ends, to)] - at
         s, e, h, g = _segment(d[at:to], breaks, prefix)
         s, e = s + at, e + at
-        if at and d[at - 1] and d[at] and rows[np.searchsorted(rows, at)] != at:  # the cut is inside a word
-            _, ends, sums, heads = parts[-1]
+        if at and d[at - 1] and d[at] and ends[np.searchsorted(ends, at)] != at:  # the cut is inside a word
+            _, tails, sums, heads = parts[-1]
             start = int(parts[-1][0][-1])
             sums[-1] = (int(sums[-1]) + int(h[0]) * pow(_R, at - start, 1 << 64)) & 0xFFFFFFFFFFFFFFFF
             if at - start < prefix:
                 heads[-1] = _segment(d[start : min(int(e[0]), start + prefix)], np.zeros(1, np.int64), prefix)[3][0]
-            ends[-1] = e[0]
+            tails[-1] = e[0]
             s, e, h, g = s[1:], e[1:], h[1:], g[1:]
         if len(s):
             parts.append((s, e, h, g))
