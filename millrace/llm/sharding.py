@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,45 +69,48 @@ def communication_matrix(sources: Sequence[int], targets: Sequence[int], seed: i
     return matrix
 
 
-def shard(df: DataFrame, n_shards: int, *, seed: int = 17, source_rows: int = 50_000, max_sources: int = 4096, slot_rows: int = 50_000) -> DataFrame:
+def shard(df: DataFrame, n_shards: int, *, seed: int = 17, max_sources: int = 16_384, slot_rows: int = 50_000) -> DataFrame:
     """Deal all rows of `df` into `n_shards` shards whose row counts differ by one at most.
 
     Every column is kept; `shard` (int) and `slot` (long, gapless from 0 in its shard) are
     added and replace columns of these names. Every assignment of rows to places is equally
     likely. Rows are placed by number, never by value: nulls, repeated rows and hot keys are
-    like any other row; an empty table gives an empty table. The input is staged once, so a
-    lost executor recomputes the same places. Source partitions have about `source_rows` rows
-    (there are `max_sources` at most, which bounds the matrix); a shard's slots are numbered
-    in ranges of about `slot_rows` rows, so no task holds a whole shard.
+    like any other row; an empty table gives an empty table. The sources are the input's own
+    partitions, merged where they are more than `max_sources`, which bounds the matrix. Each is
+    put into a random order and staged with the place of every row in it, so a
+    lost executor recomputes the same places. Rows are exchanged once, into ranges of about
+    `slot_rows` slots of a shard, so no task holds a whole shard.
     """
     spark = df.sparkSession
     names = [c for c in df.columns if c not in ("shard", "slot")]
-    rows = stage_table(df.select(F.struct(*names).alias("row"), F.rand(seed).alias("u"), F.rand(seed + 1).alias("v"), F.monotonically_increasing_id().alias("at")), "rows")
-    n = rows.count()
+    rows = df.select(F.struct(*names).alias("row"), F.rand(seed).alias("u"), F.rand(seed + 1).alias("v")).coalesce(max_sources)
+    # local permutation: the number of a row in its shuffled source
+    at = F.monotonically_increasing_id()
+    rows = stage_table(rows.sortWithinPartitions("u").select("row", "v", at.alias("at")), "rows")
+    part, rank = F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND((1 << 33) - 1) + 1
+    counted = {r["part"]: r["count"] for r in rows.groupBy(part).count().collect()}  # at most max_sources rows
+    n = sum(counted.values())
     if n == 0:
         return rows.select("row.*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    parts = max(1, min(max_sources, -(-n // source_rows)))
-    placed = rows.withColumn("part", F.pmod(F.xxhash64("at", F.lit(seed)), F.lit(parts)).cast("int"))
-    counted = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # at most max_sources rows
-    sources = [counted.get(k, 0) for k in range(parts)]
+    parts = sorted(counted)
     targets = [n // n_shards + (k < n % n_shards) for k in range(n_shards)]
-    upto = []
-    for k, row in enumerate(communication_matrix(sources, targets, seed)):
-        ends = [sum(row[: j + 1]) for j in range(n_shards)]
-        upto.append((k, ends))
-    ends = spark.createDataFrame(upto, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("ends", T.ArrayType(T.LongType()))]))
-    # local permutation: the rank of a row in its source decides its shard
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("u", "at"))
-    dealt = placed.withColumn("rank", rank).join(F.broadcast(ends), "part")
+    matrix = communication_matrix([counted[k] for k in parts], targets, seed)
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("ends", T.ArrayType(T.LongType()))])
+    ends = spark.createDataFrame([(k, list(accumulate(row))) for k, row in zip(parts, matrix, strict=True)], schema)
+    ends = F.broadcast(ends) if len(parts) * n_shards <= 4_000_000 else ends
     ranges = max(1, -(-targets[0] // slot_rows))
-    dealt = dealt.select("row", "at", "v", F.size(F.filter("ends", lambda e: e < F.col("rank"))).alias("shard"), F.floor(F.col("v") * ranges).cast("int").alias("range"))
-    dealt = stage_table(dealt, "dealt")
+
+    def dealt(*columns: str) -> DataFrame:
+        met = rows.select(*columns, "v", "at", part, rank.alias("rank")).join(ends, "part")
+        to = F.size(F.filter("ends", lambda e: e < F.col("rank"))).alias("shard")
+        return met.select(*columns, "v", "at", to, F.floor(F.col("v") * ranges).cast("int").alias("range"))
+
     # second permutation: ranges of a random key, numbered from the rows in the ranges before
-    sizes = dealt.groupBy("shard", "range").count()
+    sizes = dealt().groupBy("shard", "range").count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("shard", "range", F.coalesce(before, F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("shard", "range").orderBy("v", "at"))
-    out = dealt.withColumn("place", place).join(F.broadcast(offsets) if ranges * n_shards <= 1_000_000 else offsets, ["shard", "range"])
+    out = dealt("row").withColumn("place", place).join(F.broadcast(offsets) if ranges * n_shards <= 1_000_000 else offsets, ["shard", "range"])
     return out.select("row.*", "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot"))
 
 

@@ -30,7 +30,7 @@ from .helpers import LOW, ODD, documents
 
 def test_shards_are_whole_and_even(spark):
     rows = [(i % 50, f"text {i % 7}") for i in range(997)] + ODD
-    got = shard_digest(documents(spark, rows), 40, source_rows=100, slot_rows=10).collect()
+    got = shard_digest(documents(spark, rows).repartition(9), 40, slot_rows=10, max_sources=7).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
     sizes = Counter(r["shard"] for r in got)
     assert set(sizes) == set(range(40)) and max(sizes.values()) - min(sizes.values()) <= 1
