@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from millrace.names import free
 from millrace.order import IDX, first_index, indexed
+from millrace.staging import stage
 
 
 def each(df: DataFrame, change: Callable[[dict], dict | list[dict] | None], schema: str | T.StructType) -> DataFrame:
@@ -17,18 +21,19 @@ def each(df: DataFrame, change: Callable[[dict], dict | list[dict] | None], sche
 
     Batches are converted once; prefer `each_column` where an expression will do.
     """
-    names = T._parse_datatype_string(schema).names if isinstance(schema, str) else schema.names
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for record in batch.to_dict("records"):
+            for record in batch.to_pylist():
                 made = change(record)
                 if made is not None:
                     out += made if isinstance(made, list) else [made]
-            yield pd.DataFrame(out, columns=names)
+            yield pa.RecordBatch.from_pylist(out, arrow)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, kind)
 
 
 def each_column(df: DataFrame, name: str, value: Column, drop_null: bool = True) -> DataFrame:
@@ -39,9 +44,10 @@ def each_column(df: DataFrame, name: str, value: Column, drop_null: bool = True)
 
 def each_while(df: DataFrame, name: str, value: Column, order: Sequence[str]) -> DataFrame:
     """The values of an expression along the order, up to the first null."""
-    rows = indexed(df, order).withColumn(name, value)
-    stop = first_index(rows, F.col(name).isNull())
-    return (rows if stop is None else rows.where(F.col(IDX) < stop)).select(name)
+    idx = free([*df.columns, name], IDX)
+    rows = indexed(df, order, idx).select(idx, value.alias(name))
+    stop = first_index(rows, F.col(name).isNull(), idx)
+    return (rows if stop is None else rows.where(F.col(idx) < stop)).select(name)
 
 
 def flat_map(df: DataFrame, name: str, items: Column) -> DataFrame:
@@ -66,13 +72,18 @@ def only(df: DataFrame) -> DataFrame:
     return df
 
 
-def recurse(df: DataFrame, parent: str, child: str, start: Column, limit: int = 50) -> DataFrame:
-    """All nodes under the starting ones by parent links, with their depth; a loop of joins that ends when none is new."""
-    level = df.where(start).select(F.col(child).alias("node"), F.lit(0).alias("depth")).distinct()
+def recurse(df: DataFrame, parent: str, child: str, start: Column, limit: int = 10_000) -> DataFrame:
+    """All nodes under the starting ones by parent links, with their smallest depth; a loop of joins that ends when none is new.
+
+    Each level is staged, so a round reads the level before it and does not compute it anew; `limit`
+    only guards against a runaway loop and raises.
+    """
+    links = df.select(F.col(parent).alias("up"), F.col(child).alias("node"))
+    level = stage(df.where(start).select(F.col(child).alias("node"), F.lit(0).alias("depth")).distinct(), "level")
     seen = level
     for depth in range(1, limit + 1):
-        level = df.join(level.select("node"), df[parent] == F.col("node")).select(F.col(child).alias("node"), F.lit(depth).alias("depth")).distinct()
-        level = level.join(seen.select("node"), "node", "left_anti")
+        below = links.join(level.select(F.col("node").alias("up")), "up").select("node").distinct()
+        level = stage(below.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")), "level")
         if level.isEmpty():
             return seen
         seen = seen.unionByName(level)

@@ -91,18 +91,20 @@ def n_unique(column: str) -> Column:
 
 
 def quantile(column: str, q: float) -> Column:
-    """The value nearest to the quantile's position (ties go to the even position), as an aggregate."""
+    """The value nearest to the quantile's position (ties go to the even position), as an aggregate of groups whose values fit a cell; see quantile_by_rank for whole tables."""
     ordered = F.array_sort(F.collect_list(column))
     return F.element_at(ordered, (F.rint((F.count(column) - 1) * q) + 1).cast("int"))
 
 
 def quantile_by_rank(df: DataFrame, column: str, q: float) -> DataFrame:
     """The same over a whole table, by global position, without a list of all values."""
+    from millrace.names import free
     from millrace.order import IDX, indexed
 
-    known = indexed(df.where(F.col(column).isNotNull()).select(column), [column])
+    idx = free([column], IDX)
+    known = indexed(df.where(F.col(column).isNotNull()).select(column), [column], idx)
     n = known.count()
-    return known.where(F.col(IDX) == F.rint(F.lit((n - 1) * q)).cast("long")).select(column)
+    return known.where(F.col(idx) == F.rint(F.lit((n - 1) * q)).cast("long")).select(column)
 
 
 def implode(*columns: str) -> list[Column]:
@@ -130,9 +132,9 @@ def horizontal(op: str, *columns: str) -> Column:
 
 
 def summary(df: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Statistics of all numeric columns, one row a statistic; std is of the population, count has nulls too."""
+    """Statistics of all numeric columns, one row a statistic; std is of the population, count has nulls too, quantiles are interpolated."""
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    stats = {"count": lambda c: F.count("*"), "sum": F.sum, "mean": F.avg, "median": F.median, "std": F.stddev_pop, "min": F.min, "max": F.max} | {f"{int(q * 100)}%": (lambda c, q=q: F.percentile_disc(q, c) if hasattr(F, "percentile_disc") else F.percentile(c, q)) for q in quantiles}
+    stats = {"count": lambda c: F.count("*"), "sum": F.sum, "mean": F.avg, "median": F.median, "std": F.stddev_pop, "min": F.min, "max": F.max} | {f"{int(q * 100)}%": (lambda c, q=q: F.percentile(c, q)) for q in quantiles}
     row = df.agg(*(fn(F.col(c)).cast("double").alias(f"{s}\0{c}") for s, fn in stats.items() for c in numeric))
     lines = F.array(*(F.struct(F.lit(s).alias("descriptor"), *(F.col(f"`{s}\0{c}`").alias(c) for c in numeric)) for s in stats))
     return row.select(F.inline(lines))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.names import free, free_prefix
 from millrace.order import IDX, indexed
 
 
@@ -24,12 +25,13 @@ def join(left: DataFrame, right: DataFrame, left_on: str, right_on: str | None =
     prefix and suffix apply to all right columns but the key.
     """
     right_on = right_on or left_on
-    k1 = left.withColumn("_key", F.coalesce(F.col(left_on).cast("string"), F.lit("")))
-    taken = set(left.columns)
+    key, key2, right_key = (free([*left.columns, *right.columns], c) for c in ("_key", "_key2", "_right_key"))
+    k1 = left.withColumn(key, F.coalesce(F.col(left_on).cast("string"), F.lit("")))
+    taken = {*left.columns, key, key2, right_key}
     names = {c: _free(f"{prefix}{c}{suffix}", taken, "_") for c in right.columns if c != right_on}
-    k2 = right.select(F.coalesce(F.col(right_on).cast("string"), F.lit("")).alias("_key2"), F.col(right_on).alias("_right_key"), *(F.col(c).alias(n) for c, n in names.items()))
-    out = k1.join(k2, F.col("_key") == F.col("_key2"), {"outer": "full"}.get(how, how))
-    mine = F.when(F.col("_key").isNull(), F.col("_right_key").cast(left.schema[left_on].dataType)).otherwise(F.col(left_on))
+    k2 = right.select(F.coalesce(F.col(right_on).cast("string"), F.lit("")).alias(key2), F.col(right_on).alias(right_key), *(F.col(c).alias(n) for c, n in names.items()))
+    out = k1.join(k2, F.col(key) == F.col(key2), {"outer": "full"}.get(how, how))
+    mine = F.when(F.col(key).isNull(), F.col(right_key).cast(left.schema[left_on].dataType)).otherwise(F.col(left_on))
     return out.select(*(mine.alias(c) if c == left_on else F.col(c) for c in left.columns), *names.values())
 
 
@@ -41,18 +43,19 @@ def typed_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_
     """
     right_on = list(right_on or left_on)
     left_on = list(left_on)
+    own = free_prefix(left, "_r_")
     names = {c: f"{c}{suffix}" if c in left.columns else c for c in right.columns}
-    other = right.select(*(F.col(c).alias(f"_r_{c}") for c in right.columns))
+    other = right.select(*(F.col(c).alias(f"{own}{c}") for c in right.columns))
     if how == "cross":
-        return left.crossJoin(other).select(*left.columns, *(F.col(f"_r_{c}").alias(names[c]) for c in right.columns))
-    same = [F.col(a).eqNullSafe(F.col(f"_r_{b}")) if nulls_equal else F.col(a) == F.col(f"_r_{b}") for a, b in zip(left_on, right_on, strict=True)]
+        return left.crossJoin(other).select(*left.columns, *(F.col(f"{own}{c}").alias(names[c]) for c in right.columns))
+    same = [F.col(a).eqNullSafe(F.col(f"{own}{b}")) if nulls_equal else F.col(a) == F.col(f"{own}{b}") for a, b in zip(left_on, right_on, strict=True)]
     out = left.join(other, same, {"semi": "left_semi", "anti": "left_anti"}.get(how, how))
     if how in ("semi", "anti"):
         return out
     keys = dict(zip(left_on, right_on, strict=True))
-    mine = [F.coalesce(F.col(c), F.col(f"_r_{keys[c]}")).alias(c) if coalesce and how == "full" and c in keys else F.col(c) for c in left.columns]
+    mine = [F.coalesce(F.col(c), F.col(f"{own}{keys[c]}")).alias(c) if coalesce and how == "full" and c in keys else F.col(c) for c in left.columns]
     theirs = [c for c in right.columns if c not in right_on or (how == "full" and not coalesce)]
-    return out.select(*mine, *(F.col(f"_r_{c}").alias(names[c]) for c in theirs))
+    return out.select(*mine, *(F.col(f"{own}{c}").alias(names[c]) for c in theirs))
 
 
 def join_where(left: DataFrame, right: DataFrame, *conditions: Column) -> DataFrame:
@@ -71,25 +74,28 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     null bounds meet nothing.
     """
     first, last = (F.floor(F.col(c) / width).cast("long") for c in (low, high))
-    spread = ranges.where(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(first, last)))
-    keyed = points.withColumn("_bucket", F.floor(F.col(point) / width).cast("long"))
-    met = keyed.join(spread, ["_bucket", *equal])
-    return met.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
+    bucket = free([*points.columns, *ranges.columns], "_bucket")
+    spread = ranges.where(F.col(low) < F.col(high)).withColumn(bucket, F.explode(F.sequence(first, last)))
+    keyed = points.withColumn(bucket, F.floor(F.col(point) / width).cast("long"))
+    met = keyed.join(spread, [bucket, *equal])
+    return met.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(bucket)
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
     """Rows of two tables side by side, by position under each order; stops at the shorter."""
-    a = indexed(left, left_order)
-    taken = set(left.columns)
-    b = indexed(right, right_order)
+    idx = free([*left.columns, *right.columns], IDX)
+    a, b = indexed(left, left_order, idx), indexed(right, right_order, idx)
+    taken = {*left.columns, idx}
     names = {c: _free(c, taken, "_") for c in right.columns}
-    return a.join(b.select(IDX, *(F.col(c).alias(n) for c, n in names.items())), IDX).drop(IDX)
+    return a.join(b.select(idx, *(F.col(c).alias(n) for c, n in names.items())), idx).drop(idx)
 
 
 def merge_tables(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
     """Row by row, the right table's columns replace or extend the left ones; rows beyond the right table stay."""
-    a, b = indexed(left, left_order), indexed(right, right_order)
-    other = b.select(IDX, *(F.col(c).alias(f"_r_{c}") for c in right.columns), F.lit(True).alias("_met"))
-    out = a.join(other, IDX, "full")
-    mine = [F.when(F.col("_met"), F.col(f"_r_{c}")).otherwise(F.col(c)).alias(c) if c in right.columns else F.col(c) for c in left.columns]
-    return out.orderBy(IDX).select(*mine, *(F.col(f"_r_{c}").alias(c) for c in right.columns if c not in left.columns))
+    idx, own = free([*left.columns, *right.columns], IDX), free_prefix(left, "_r_")
+    met = free([*left.columns, *(own + c for c in right.columns)], "_met")
+    a, b = indexed(left, left_order, idx), indexed(right, right_order, idx)
+    other = b.select(idx, *(F.col(c).alias(own + c) for c in right.columns), F.lit(True).alias(met))
+    out = a.join(other, idx, "full")
+    mine = [F.when(F.col(met), F.col(own + c)).otherwise(F.col(c)).alias(c) if c in right.columns else F.col(c) for c in left.columns]
+    return out.orderBy(idx).select(*mine, *(F.col(own + c).alias(c) for c in right.columns if c not in left.columns))

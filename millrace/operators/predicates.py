@@ -9,6 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.names import free_prefix
+
 
 def where(df: DataFrame, condition: Column | str) -> DataFrame:
     """Rows for which the condition is true."""
@@ -87,9 +89,10 @@ def is_duplicated(df: DataFrame, columns: Sequence[str] | None = None, name: str
     Counts are made before the join back, so a very frequent row costs one counter, not a window.
     """
     cols = list(columns or df.columns)
-    counts = df.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(cols))).agg((F.count("*") > 1).alias(name))
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cols)]
-    return df.join(counts, same, "left").select(*df.columns, name)
+    own = free_prefix(df, "_k")
+    counts = df.groupBy(*(F.col(c).alias(f"{own}{i}") for i, c in enumerate(cols))).agg((F.count("*") > 1).alias(f"{own}n"))
+    same = [F.col(c).eqNullSafe(F.col(f"{own}{i}")) for i, c in enumerate(cols)]
+    return df.join(counts, same, "left").select(*(c for c in df.columns if c != name), F.col(f"{own}n").alias(name))
 
 
 def is_unique(df: DataFrame, columns: Sequence[str] | None = None, name: str = "is_unique") -> DataFrame:

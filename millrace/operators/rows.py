@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.order import IDX, first_index, indexed, keys
+from millrace.names import free
+from millrace.order import IDX, first_index, head_indexed, indexed, keys, numbered
 
 
 def sort_by(df: DataFrame, *order: str, reverse: bool = False, ignore_case: bool = False, natural: bool = False, nulls_last: bool = True) -> DataFrame:
@@ -42,75 +43,85 @@ def last(df: DataFrame, n: int = 1, order: Sequence[str | Column] = ()) -> DataF
 
 def skip(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """All but the first n rows."""
-    return indexed(df, order).where(F.col(IDX) >= n).drop(IDX)
+    idx = free(df, IDX)
+    return indexed(df, order, idx).where(F.col(idx) >= n).drop(idx)
 
 
 def drop_last(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """All but the last n rows."""
-    return indexed(df, order, reverse=True).where(F.col(IDX) >= n).drop(IDX)
+    idx = free(df, IDX)
+    return indexed(df, order, idx, reverse=True).where(F.col(idx) >= n).drop(idx)
 
 
 def row_slice(df: DataFrame, start: int, stop: int | None, order: Sequence[str]) -> DataFrame:
     """Rows start to stop (inclusive); negative positions count from the end."""
-    rows = indexed(df, order)
+    idx = free(df, IDX)
+    rows = head_indexed(df, order, idx, stop if stop is not None and min(start, stop) >= 0 else -1)
     if start < 0 or (stop is not None and stop < 0):
         n = rows.count()
         start = start + n if start < 0 else start
         stop = stop + n if stop is not None and stop < 0 else stop
-    keep = F.col(IDX) >= start
-    return rows.where(keep & (F.col(IDX) <= stop) if stop is not None else keep).drop(IDX)
+    keep = F.col(idx) >= start
+    return rows.where(keep & (F.col(idx) <= stop) if stop is not None else keep).drop(idx)
 
 
 def every(df: DataFrame, stride: int, order: Sequence[str], skip_: bool = False) -> DataFrame:
     """Every stride-th row from the first on, or all others."""
-    hit = F.col(IDX) % max(1, stride) == 0
-    return indexed(df, order).where(~hit if skip_ else hit).drop(IDX)
+    idx = free(df, IDX)
+    hit = F.col(idx) % max(1, stride) == 0
+    return indexed(df, order, idx).where(~hit if skip_ else hit).drop(idx)
 
 
 def nth(df: DataFrame, positions: Sequence[int], order: Sequence[str], drop: bool = False) -> DataFrame:
     """Rows at positions, or all others."""
-    hit = F.col(IDX).isin(list(positions))
-    return indexed(df, order).where(~hit if drop else hit).drop(IDX)
+    idx = free(df, IDX)
+    hit = F.col(idx).isin(list(positions))
+    return head_indexed(df, order, idx, -1 if drop else max(positions, default=0)).where(~hit if drop else hit).drop(idx)
 
 
 def take_rows(df: DataFrame, positions: Sequence[int], order: Sequence[str]) -> DataFrame:
-    """Rows at positions, in the order asked for, with repeats: `_at` is the place in the list."""
-    wanted = df.sparkSession.createDataFrame(list(enumerate(positions)), "_at long, _idx long")
-    return indexed(df, order).join(F.broadcast(wanted), IDX).drop(IDX)
+    """Rows at positions, in the order asked for, with repeats: `_at` is the place in the list; it must not be a column."""
+    if "_at" in df.columns:
+        raise ValueError("_at is a reserved name")
+    idx = free(df, IDX)
+    wanted = df.sparkSession.createDataFrame(list(enumerate(positions)), f"_at long, {idx} long")
+    return head_indexed(df, order, idx, max(positions, default=0)).join(F.broadcast(wanted), idx).drop(idx)
 
 
-def _edge(df: DataFrame, order: Sequence[str], stop: Column) -> tuple[DataFrame, int | None]:
-    rows = indexed(df, order)
-    return rows, first_index(rows, stop)
+def _edge(df: DataFrame, order: Sequence[str], stop: Column) -> tuple[DataFrame, int | None, str]:
+    idx = free(df, IDX)
+    rows = indexed(df, order, idx)
+    return rows, first_index(rows, stop, idx), idx
 
 
 def take_while(df: DataFrame, condition: Column, order: Sequence[str], include: int = 0) -> DataFrame:
     """Rows before the first that fails the condition, and `include` further ones."""
-    rows, at = _edge(df, order, ~F.coalesce(condition, F.lit(False)))
-    return (rows if at is None else rows.where(F.col(IDX) < at + include)).drop(IDX)
+    rows, at, idx = _edge(df, order, ~F.coalesce(condition, F.lit(False)))
+    return (rows if at is None else rows.where(F.col(idx) < at + include)).drop(idx)
 
 
 def take_until(df: DataFrame, condition: Column, order: Sequence[str], include: int = 0) -> DataFrame:
     """Rows before the first that meets the condition, and `include` further ones."""
-    rows, at = _edge(df, order, condition)
-    return (rows if at is None else rows.where(F.col(IDX) < at + include)).drop(IDX)
+    rows, at, idx = _edge(df, order, condition)
+    return (rows if at is None else rows.where(F.col(idx) < at + include)).drop(idx)
 
 
 def skip_while(df: DataFrame, condition: Column, order: Sequence[str]) -> DataFrame:
     """Rows from the first that fails the condition on."""
-    rows, at = _edge(df, order, ~F.coalesce(condition, F.lit(False)))
-    return rows.where(F.lit(False) if at is None else F.col(IDX) >= at).drop(IDX)
+    rows, at, idx = _edge(df, order, ~F.coalesce(condition, F.lit(False)))
+    return rows.where(F.lit(False) if at is None else F.col(idx) >= at).drop(idx)
 
 
 def skip_until(df: DataFrame, condition: Column, order: Sequence[str]) -> DataFrame:
     """Rows from the first that meets the condition on."""
-    rows, at = _edge(df, order, condition)
-    return rows.where(F.lit(False) if at is None else F.col(IDX) >= at).drop(IDX)
+    rows, at, idx = _edge(df, order, condition)
+    return rows.where(F.lit(False) if at is None else F.col(idx) >= at).drop(idx)
 
 
 def enumerate_rows(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """`index` from 0 and `item`, the row."""
-    return indexed(df, order).select(F.col(IDX).alias("index"), F.struct(*df.columns).alias("item"))
+    idx = free(df, IDX)
+    return indexed(df, order, idx).select(F.col(idx).alias("index"), F.struct(*df.columns).alias("item"))
 
 
 def reverse(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -120,9 +131,10 @@ def reverse(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def roll_rows(df: DataFrame, by: int, order: Sequence[str]) -> DataFrame:
     """Rotate rows down by `by` (up if negative): `position` is the new place."""
-    rows = indexed(df, order)
+    idx = free(df, IDX)
+    rows = indexed(df, order, idx)
     n = rows.count()
-    return rows.withColumn("position", F.pmod(F.col(IDX) + by, F.lit(max(1, n)))).drop(IDX)
+    return rows.withColumn("position", F.pmod(F.col(idx) + by, F.lit(max(1, n)))).drop(idx)
 
 
 def shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
@@ -162,13 +174,14 @@ def headers(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def transpose(df: DataFrame, order: Sequence[str], name: str = "column0", limit: int = 1000) -> DataFrame:
     """Columns become rows and rows become columns (`column1`, ...); at most `limit` rows, since each becomes a column."""
-    rows = indexed(df, order)
+    idx = free(df, IDX)
+    rows = indexed(df, order, idx)
     n = rows.count()
     if n > limit:
         raise ValueError(f"{n} rows would become columns; the limit is {limit}")
     cells = F.array(*(F.struct(F.lit(k).alias("_k"), F.lit(c).alias(name), F.col(f"`{c}`").cast("string").alias("_v")) for k, c in enumerate(df.columns)))
-    long = rows.select(IDX, F.inline(cells))
-    wide = long.groupBy("_k", name).pivot(IDX, list(range(n))).agg(F.first("_v")).orderBy("_k").drop("_k")
+    long = rows.select(idx, F.inline(cells))
+    wide = long.groupBy("_k", name).pivot(idx, list(range(n))).agg(F.first("_v")).orderBy("_k").drop("_k")
     return wide.toDF(name, *(f"column{k + 1}" for k in range(n)))
 
 
@@ -200,39 +213,25 @@ def arg_sort(df: DataFrame, column: str, order: Sequence[str], reverse: bool = F
     rows = indexed(df, order, "arg_sort")
     c = F.col(column)
     key = (c.desc_nulls_last() if nulls_last else c.desc_nulls_first()) if reverse else (c.asc_nulls_last() if nulls_last else c.asc_nulls_first())
-    ranked = rows.orderBy(key, "arg_sort")
-    return indexed_by(ranked.select("arg_sort"), "rank")
-
-
-def indexed_by(sorted_df: DataFrame, name: str) -> DataFrame:
-    """Number the rows of a sorted table."""
-    from millrace.staging import stage
-
-    rows = stage(sorted_df.withColumn(name, F.monotonically_increasing_id()), "ranked")
-    sizes = {r["p"]: r["n"] for r in rows.groupBy(F.shiftright(name, 33).alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, at = {}, 0
-    for p in sorted(sizes):
-        before[p], at = at, at + sizes[p]
-    if not before:
-        return rows
-    offsets = F.broadcast(sorted_df.sparkSession.createDataFrame(list(before.items()), "_p long, _o long"))
-    out = rows.join(offsets, F.shiftright(name, 33) == F.col("_p"))
-    return out.withColumn(name, F.col("_o") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_o")
+    return numbered(rows.orderBy(key, "arg_sort").select("arg_sort"), "rank")
 
 
 def arg_unique(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
     """Position of the first row of each value."""
-    return indexed(df, order).groupBy(column).agg(F.min(IDX).alias("arg_unique")).select("arg_unique")
+    idx = free(df, IDX)
+    return indexed(df, order, idx).groupBy(column).agg(F.min(idx).alias("arg_unique")).select("arg_unique")
 
 
 def arg_extreme(df: DataFrame, column: str, order: Sequence[str], largest: bool = True) -> DataFrame:
     """Position of the first row with the largest (or smallest) value."""
-    rows = indexed(df, order)
+    idx = free(df, IDX)
+    rows = indexed(df, order, idx)
     best = F.max_by if largest else F.min_by
-    place = F.struct(F.col(column), -F.col(IDX)) if largest else F.struct(F.col(column), F.col(IDX))
-    return rows.where(F.col(column).isNotNull()).agg(best(IDX, place).alias("arg_max" if largest else "arg_min"))
+    place = F.struct(F.col(column), -F.col(idx)) if largest else F.struct(F.col(column), F.col(idx))
+    return rows.where(F.col(column).isNotNull()).agg(best(idx, place).alias("arg_max" if largest else "arg_min"))
 
 
 def arg_true(df: DataFrame, condition: Column, order: Sequence[str]) -> DataFrame:
     """Positions of the rows for which the condition is true."""
-    return indexed(df, order).where(condition).select(F.col(IDX).alias("arg_true"))
+    idx = free(df, IDX)
+    return indexed(df, order, idx).where(condition).select(F.col(idx).alias("arg_true"))

@@ -42,6 +42,13 @@ def _kind(*types: type) -> Callable[[], Selector]:
     return lambda: Selector(lambda k, f, n: isinstance(f.dataType, types))
 
 
+def _absent(what: str) -> Callable[[], Selector]:
+    def none() -> Selector:
+        raise TypeError(f"Spark has no {what}")
+
+    return none
+
+
 def _chars(test: Callable[[str], bool], ascii_only: bool, ignore_spaces: bool) -> Selector:
     def fits(k, f, n):
         name = f.name.replace(" ", "") if ignore_spaces else f.name
@@ -122,14 +129,14 @@ duration = _kind(T.DayTimeIntervalType)
 float_ = _kind(T.FloatType, T.DoubleType)
 integer = _kind(T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 signed_integer = integer
-unsigned_integer = empty
+unsigned_integer = _absent("unsigned integers")
 list_ = _kind(T.ArrayType)
 array = _kind(T.ArrayType)
 struct = _kind(T.StructType)
 nested = _kind(T.ArrayType, T.MapType, T.StructType)
 numeric = _kind(T.NumericType)
 string = _kind(T.StringType)
-categorical = empty
-enum = empty
+categorical = _absent("categories")
+enum = _absent("enumerations")
 object_ = _kind(T.VariantType)
 temporal = _kind(T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType)

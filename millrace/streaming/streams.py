@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,9 +46,10 @@ def sessions(df: DataFrame, time: str, gap: str, *aggregates: Column, late: str
 
 
 def deduplicated(df: DataFrame, *keys: str, time: str, late: str = "10 minutes") -> DataFrame:
-    """First row of each key; a stream forgets a key after `late`."""
+    """The earliest row of each key; a stream keeps the first that arrives and forgets a key after `late`."""
     if not df.isStreaming:
-        return df.dropDuplicates(list(keys))
+        best = F.min_by(F.struct(*df.columns), F.col(time))
+        return df.groupBy(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))).agg(best.alias("row")).select("row.*")
     return df.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -64,12 +66,24 @@ def tee(df: DataFrame, *sinks: Callable[[DataFrame], None]) -> StreamingQuery:
 
 
 def to_completion(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now, and return its result as a table."""
+    """Run a stream over all that is there now, and return its result as a table in the shared folder.
+
+    Each batch is a folder of its own, so a batch that runs twice is written once. Each call starts afresh.
+    With mode "complete" the result is the last batch, else all of them.
+    """
     spark = df.sparkSession
-    where = f"{shared_folder(spark)}/streams/{name}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).start()
+    base = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    done: list[str] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        done.append(f"{base}/batch-{number}")
+        batch.write.mode("overwrite").parquet(done[-1])
+
+    q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*(done[-1:] if mode == "complete" else dict.fromkeys(done)))
 
 
 class Jobs:
