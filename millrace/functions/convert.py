@@ -133,3 +133,41 @@ def detect_type(c: Column) -> Column:
         .when(t.rlike(r"^-?\d+(\.\d+)?\s*(ns|us|µs|ms|sec|min|hr|day|wk)$"), "duration")
         .otherwise("string")
     )
+
+
+def _semver_key(v: Column) -> Column:
+    """Versions in order: a release comes after its pre-releases."""
+    return F.struct(v["major"], v["minor"], v["patch"], (v["pre"] == "").alias("released"), v["pre"])
+
+
+def semver_range(text: str) -> list[tuple[str, tuple[int, int, int]]]:
+    """Bounds of a range such as `>=1.0.0, <2`, `^1.2.3`, `~1.2`, `1.2.*`: (comparison, version)."""
+    out: list[tuple[str, tuple[int, int, int]]] = []
+    for part in filter(None, re.split(r"\s*,\s*", text.strip())):
+        m = re.fullmatch(r"(\^|~|>=|<=|>|<|=)?\s*(\d+|\*|x)(?:\.(\d+|\*|x))?(?:\.(\d+|\*|x))?", part)
+        if not m:
+            raise ValueError(f"{part} is not a version range")
+        given = [int(x) for x in m.groups()[1:] if x and x.isdigit()]
+        low = tuple((given + [0, 0, 0])[:3])
+        sign = m[1] or ("^" if len(given) == 3 else "=")
+        if sign in ("<", "<=", ">", ">=") or sign == "=" and len(given) == 3:
+            out.append((sign, low))
+            continue
+        if sign == "^":  # the first number that is not 0 stays
+            stay = next((k for k, x in enumerate(given) if x), len(given) - 1)
+        else:
+            stay = min(1, len(given) - 1) if sign == "~" else len(given) - 1
+        out.append((">=", low))
+        if given:
+            out.append(("<", tuple(x + (k == stay) if k <= stay else 0 for k, x in enumerate(low))))
+    return out
+
+
+def semver_matches(v: Column, text: str) -> Column:
+    """Whether a version (see into_semver) lies in a range (see semver_range)."""
+    out = v.isNotNull()
+    for sign, version in semver_range(text):
+        at = F.struct(*(F.lit(x).cast("long") for x in version), F.lit(True), F.lit(""))
+        key = _semver_key(v)
+        out = out & {"<": key < at, "<=": key <= at, ">": key > at, ">=": key >= at, "=": key == at}[sign]
+    return F.coalesce(out, F.lit(False))

@@ -6,6 +6,8 @@ import configparser
 import html.parser
 import json
 import plistlib
+import re
+import struct
 import tomllib
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -193,6 +195,12 @@ def _page(text: str) -> dict:
     return p.out
 
 
+def _yaml():
+    import yaml  # an optional package
+
+    return yaml
+
+
 #: Name -> parser of a text to plain data, given back as JSON text.
 PARSERS = {
     "xml": lambda t: _xml_tree(ET.fromstring(t)),
@@ -203,6 +211,7 @@ PARSERS = {
     "ics": lambda t: _blocks(t, "BEGIN:VEVENT", "END:VEVENT"),
     "vcf": lambda t: _blocks(t, "BEGIN:VCARD", "END:VCARD"),
     "webpage": _page,
+    "yaml": lambda t: _yaml().safe_load(t),
 }
 
 #: Name -> writer of JSON text to another format.
@@ -210,16 +219,21 @@ WRITERS = {
     "xml": lambda t: _xml_node(json.loads(t)),
     "toml": lambda t: _toml(json.loads(t)),
     "plist": lambda t: plistlib.dumps(json.loads(t)).decode(),
+    "yaml": lambda t: _yaml().safe_dump(json.loads(t), sort_keys=False, allow_unicode=True),
 }
 
 
 def from_format(c: Column, kind: str) -> Column:
-    """Text of a format (see PARSERS) to JSON text; null where it does not parse."""
+    """Text of a format (see PARSERS) to JSON text; null where it does not parse. YAML needs the package yaml."""
+    if kind == "yaml":
+        _yaml()
     return _batched(PARSERS[kind])(c)
 
 
 def to_format(c: Column, kind: str) -> Column:
-    """JSON text to a format (see WRITERS)."""
+    """JSON text to a format (see WRITERS). YAML needs the package yaml."""
+    if kind == "yaml":
+        _yaml()
     return _batched(WRITERS[kind], str)(c)
 
 
@@ -232,3 +246,106 @@ def from_ssv(df: DataFrame, column: str, names: list[str], spaces: int = 2) -> D
 def from_url(c: Column) -> Column:
     """A query string as a map."""
     return F.map_from_entries(F.transform(F.split(c, "&"), lambda p: F.struct(F.url_decode(F.split_part(p, F.lit("="), F.lit(1))), F.url_decode(F.split_part(p, F.lit("="), F.lit(2))))))
+
+
+def query_xml(c: Column, path: str) -> Column:
+    """Texts at an XPath of an XML text, as a list."""
+    return F.xpath(c, F.lit(path))
+
+
+class _Found(html.parser.HTMLParser):
+    """Texts of the elements that a selector names: a tag, `.class`, `#id`, or a tag with one of these."""
+
+    def __init__(self, selector: str):
+        super().__init__()
+        tag, mark, name = re.fullmatch(r"([\w-]*)([.#]?)([\w-]*)", selector).groups()
+        self.fits = lambda t, a: (not tag or t == tag) and (not mark or name in (a.get("class") or "").split() if mark == "." else not mark or a.get("id") == name)
+        self.open: list[tuple[str, int | None]] = []
+        self.out: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if self.fits(tag, dict(attrs)):
+            self.out.append("")
+            self.open.append((tag, len(self.out) - 1))
+        elif self.open:
+            self.open.append((tag, None))
+
+    def handle_endtag(self, tag):
+        while any(t == tag for t, _ in self.open) and self.open.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        for _, k in self.open:
+            if k is not None:
+                self.out[k] += data
+
+
+def query_web(c: Column, selector: str) -> Column:
+    """Texts of the elements of a page that a selector names (see _Found), as a JSON list."""
+
+    def parse(text: str) -> list[str]:
+        p = _Found(selector)
+        p.feed(text)
+        return p.out
+
+    return _batched(parse)(c)
+
+
+def _pack(v, out: bytearray) -> bytearray:
+    """MessagePack bytes of plain data."""
+    if v is None or isinstance(v, bool):
+        out.append({None: 0xC0, False: 0xC2, True: 0xC3}[v])
+    elif isinstance(v, int):
+        if 0 <= v < 128 or -32 <= v < 0:
+            out.append(v & 0xFF)
+        else:
+            out += b"\xd3" + v.to_bytes(8, "big", signed=True)
+    elif isinstance(v, float):
+        out += b"\xcb" + struct.pack(">d", v)
+    elif isinstance(v, str):
+        raw = v.encode()
+        out += (bytes([0xA0 | len(raw)]) if len(raw) < 32 else b"\xdb" + len(raw).to_bytes(4, "big")) + raw
+    elif isinstance(v, list | dict):
+        short, long = (0x90, b"\xdd") if isinstance(v, list) else (0x80, b"\xdf")
+        out += bytes([short | len(v)]) if len(v) < 16 else long + len(v).to_bytes(4, "big")
+        for x in v if isinstance(v, list) else (y for pair in v.items() for y in pair):
+            _pack(x, out)
+    return out
+
+
+#: First byte of a MessagePack value -> struct format of the number that follows it.
+_NUMBERS = {0xCA: ">f", 0xCB: ">d", 0xCC: ">B", 0xCD: ">H", 0xCE: ">I", 0xCF: ">Q", 0xD0: ">b", 0xD1: ">h", 0xD2: ">i", 0xD3: ">q"}
+
+
+def _unpack(raw: bytes, at: int = 0) -> tuple[object, int]:
+    """(value, next position) of MessagePack bytes."""
+    b = raw[at]
+    at += 1
+    sized = lambda n: (int.from_bytes(raw[at : at + n], "big"), at + n)
+    if b < 0x80 or b >= 0xE0:
+        return (b if b < 0x80 else b - 256), at
+    if b in (0xC0, 0xC2, 0xC3):
+        return {0xC0: None, 0xC2: False, 0xC3: True}[b], at
+    if b in _NUMBERS:
+        n = struct.calcsize(_NUMBERS[b])
+        return struct.unpack(_NUMBERS[b], raw[at : at + n])[0], at + n
+    if 0xA0 <= b < 0xC0 or 0xD9 <= b <= 0xDB or 0xC4 <= b <= 0xC6:
+        n, at = (b & 31, at) if b < 0xC0 else sized(1 << (b - (0xD9 if b > 0xD0 else 0xC4)))
+        body = raw[at : at + n]
+        return (body.hex() if 0xC4 <= b <= 0xC6 else body.decode()), at + n
+    n, at = (b & 15, at) if b < 0xA0 else sized(2 if b in (0xDC, 0xDE) else 4)
+    items = []
+    for _ in range(n * (2 if b < 0x90 or b >= 0xDE else 1)):
+        x, at = _unpack(raw, at)
+        items.append(x)
+    return (dict(zip(items[::2], items[1::2], strict=True)) if b < 0x90 or b >= 0xDE else items), at
+
+
+def to_msgpack(c: Column) -> Column:
+    """JSON text to MessagePack bytes."""
+    return F.unhex(_batched(lambda t: bytes(_pack(json.loads(t), bytearray())).hex(), str)(c))
+
+
+def from_msgpack(c: Column) -> Column:
+    """MessagePack bytes to JSON text; null where they do not parse."""
+    return _batched(lambda t: _unpack(bytes.fromhex(t))[0])(F.hex(c))

@@ -359,3 +359,42 @@ def brace_expansions(pattern: str) -> list[str]:
     for i in items:
         out += [x for x in brace_expansions(pattern[: m.start()] + i + pattern[m.end() :]) if x not in out]
     return out
+
+
+#: Names of characters.
+CHARACTERS = {
+    "nul": "\0", "tab": "\t", "newline": "\n", "enter": "\n", "nl": "\n", "line_feed": "\n", "lf": "\n", "cr": "\r", "crlf": "\r\n",
+    "sp": " ", "space": " ", "pipe": "|", "lparen": "(", "rparen": ")", "lbracket": "[", "rbracket": "]", "lbrace": "{", "rbrace": "}",
+    "single_quote": "'", "squote": "'", "sq": "'", "double_quote": '"', "dquote": '"', "dq": '"', "tilde": "~", "hash": "#", "path_sep": "/", "bel": "\a", "backspace": "\b", "esc": "\u001b",
+}
+
+
+def char(name: str) -> Column:
+    """A character by its name, or by its number in hexadecimal."""
+    return F.lit(CHARACTERS[name] if name in CHARACTERS else chr(int(name, 16)))
+
+
+def unindent(c: Column) -> Column:
+    """Remove the blanks that all lines with text begin with."""
+    lines = F.split(c, "\n")
+    indents = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.char_length(x) - F.char_length(F.ltrim(x)))
+    width = F.coalesce(F.array_min(indents), F.lit(0))
+    return F.array_join(F.transform(lines, lambda x: F.when(F.trim(x) == "", "").otherwise(F.substring(x, width + 1, F.char_length(x)))), "\n")
+
+
+def align(lines: Column, mark: str) -> Column:
+    """A list of lines with blanks before the first `mark` of each, so that the marks stand in one column."""
+    at = lambda x: F.instr(x, mark)
+    widest = F.array_max(F.transform(lines, at))
+    return F.transform(lines, lambda x: F.when(at(x) == 0, x).otherwise(F.concat(F.substring(x, F.lit(1), at(x) - 1), F.repeat(F.lit(" "), widest - at(x)), F.substring(x, at(x), F.char_length(x)))))
+
+
+def detect_columns(c: Column, headers: bool = True) -> Column:
+    """Rows of a text of blank-separated columns, as a list of maps; names come from the first line, or are column0 on."""
+    lines = F.filter(F.split(c, "\r?\n"), lambda x: (F.trim(x) != "") & ~F.rlike(x, F.lit(r"^[\s+|=-]*$")))
+    cells = F.transform(lines, lambda x: F.split(F.trim(F.regexp_replace(x, r"\s+|(?<=\s)\|(?=\s)", " ")), " +"))
+    width = F.array_max(F.transform(cells, F.size))
+    plain = F.transform(F.sequence(F.lit(0), F.coalesce(width, F.lit(1)) - 1), lambda k: F.concat(F.lit("column"), k))
+    names = F.get(cells, F.lit(0)) if headers else plain
+    rows = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))) if headers else cells
+    return F.transform(rows, lambda r: F.map_from_arrays(names, F.transform(names, lambda _, k: F.get(r, k))))

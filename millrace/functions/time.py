@@ -178,3 +178,33 @@ def ceil(c: Column, every: str) -> Column:
     low = truncate(c, every)
     step = F.expr(f"INTERVAL {int(n) * (3 if unit == 'q' else 1)} {names[unit]}")
     return F.when(low == c, low).otherwise(low + step)
+
+
+#: Names of weekdays, Monday first, and words for days.
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+DAY_WORDS = {"today": 0, "tomorrow": 1, "yesterday": -1}
+
+
+def from_human(c: Column, now: Column) -> Column:
+    """A timestamp from words: `now`, `today at 18:30`, `last friday at 19:45`, `next monday`, `in 5 minutes and 30 seconds`, `2 days ago`. Null where not understood."""
+    t = F.lower(F.trim(c))
+    midnight = F.date_trunc("day", now)
+    clock = F.regexp_extract(t, r"(?:^|at )(\d{1,2}):(\d\d)(?::(\d\d))?$", 0)
+    clock = F.regexp_replace(clock, "^at ", "")
+    part = lambda k: F.coalesce(F.get(F.split(clock, ":"), F.lit(k)).try_cast("int"), F.lit(0))
+    seconds = F.when(clock == "", F.when(t.rlike(" at "), None).otherwise(0)).otherwise(part(0) * 3600 + part(1) * 60 + part(2))
+    day = F.regexp_replace(t, r"\s*(at )?\d{1,2}:\d\d(:\d\d)?$", "")
+    shift = F.when(day == "", 0)
+    for word, n in DAY_WORDS.items():
+        shift = shift.when(day == word, n)
+    for k, name in enumerate(WEEKDAYS):
+        ahead = F.pmod(F.lit(k) - F.weekday(now), F.lit(7))
+        shift = shift.when(day.isin(name, f"this {name}"), ahead).when(day == f"next {name}", F.when(ahead == 0, 7).otherwise(ahead)).when(day == f"last {name}", F.when(ahead == 0, -7).otherwise(ahead - 7))
+    spans = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
+    unit = "(second|minute|hour|day|week)s?"
+    table = F.create_map(*(F.lit(x) for pair in spans.items() for x in pair))
+    total = F.aggregate(F.zip_with(F.regexp_extract_all(t, F.lit(rf"(\d+) {unit}"), F.lit(1)), F.regexp_extract_all(t, F.lit(rf"(\d+) {unit}"), F.lit(2)), lambda n, u: n.cast("long") * F.element_at(table, u)), F.lit(0).cast("long"), lambda s, x: s + x)
+    list_ = rf"\d+ {unit}((,| and|, and)? \d+ {unit})*"
+    moved = F.when(t.rlike(rf"^in {list_}$"), total).when(t.rlike(rf"^{list_} ago$"), -total)
+    at = F.timestamp_seconds(F.unix_seconds(midnight) + shift * 86_400 + seconds)
+    return F.when(t == "now", now).when(moved.isNotNull(), F.timestamp_micros(F.unix_micros(now) + moved * 1_000_000)).otherwise(at)

@@ -96,3 +96,26 @@ def product(df: DataFrame, *others: DataFrame) -> DataFrame:
     for o in others:
         out = out.crossJoin(o)
     return out
+
+
+def aggregate_function(fold: Callable[[pd.Series], object], kind: str):
+    """An aggregate of one column by a Python function of a group's values, for groupBy().agg().
+
+    Spark brings the values of a group to one task, so a group must fit in its memory.
+    """
+
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> float:
+        return fold(values)
+
+    return run
+
+
+def table_function(make: Callable[..., Iterator[tuple]], schema: str):
+    """A table function for SQL and lateral joins: rows from a Python generator of its arguments."""
+
+    class Rows:
+        def eval(self, *args):
+            yield from make(*args)
+
+    return F.udtf(Rows, returnType=schema)

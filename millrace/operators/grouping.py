@@ -179,3 +179,22 @@ def qcut(df: DataFrame, column: str, quantiles: Sequence[float], labels: Sequenc
     """Bins at the quantiles of the column (interpolated, one aggregate for all)."""
     points = df.agg(F.percentile(column, list(quantiles)).alias("p")).first()["p"]
     return df.withColumn(name, cut(F.col(column), points or [], labels))
+
+
+def dot(a: str, b: str) -> Column:
+    """Sum of the products of two columns."""
+    return F.sum(F.col(a) * F.col(b))
+
+
+def count_null(*columns: str) -> list[Column]:
+    """How many cells of each column are null."""
+    return [F.count_if(F.col(c).isNull()).alias(c) for c in columns]
+
+
+def group_positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "groups") -> DataFrame:
+    """The positions under `order` of each group's rows, as a sorted list; for groups that fit a cell."""
+    from millrace.names import free
+    from millrace.order import IDX, indexed
+
+    idx = free(df, IDX)
+    return indexed(df, order, idx).groupBy(*by).agg(F.sort_array(F.collect_list(idx)).alias(name))

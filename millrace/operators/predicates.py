@@ -9,7 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.names import free_prefix
+from millrace.names import free, free_prefix
+from millrace.order import IDX, indexed
 
 
 def where(df: DataFrame, condition: Column | str) -> DataFrame:
@@ -128,3 +129,12 @@ def fill_nan(df: DataFrame, value, *columns: str) -> DataFrame:
 def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Position in a group, from 1."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def set_with_index(df: DataFrame, column: str, value, positions: Sequence[int], order: Sequence[str]) -> DataFrame:
+    """Set the cells at some positions under `order`; positions beyond the table are an error."""
+    idx = free(df, IDX)
+    rows = indexed(df, order, idx)
+    if positions and (min(positions) < 0 or max(positions) >= rows.count()):
+        raise ValueError("a position lies outside the table")
+    return set_where(rows, column, F.col(idx).isin(list(positions)), value).drop(idx)

@@ -225,3 +225,11 @@ def dummies(df: DataFrame, *columns: str, values: dict[str, list], separator: st
         for v in values[c][int(drop_first) :]:
             out.append(F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast("int").alias(f"{c}{separator}{v}"))
     return df.select(*out)
+
+
+def values(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One row a column: its name and `values`, all its cells as text in the order given; for tables that fit a cell."""
+    packed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("order"), F.struct(*(F.col(c).cast("string").alias(c) for c in df.columns)).alias("row"))))
+    cells = lambda c: F.transform("all", lambda x: x["row"][c])
+    lists = F.array(*(F.struct(F.lit(c).alias("column"), cells(c).alias("values")) for c in df.columns))
+    return df.agg(packed.alias("all")).select(F.inline(lists))

@@ -235,3 +235,12 @@ def arg_true(df: DataFrame, condition: Column, order: Sequence[str]) -> DataFram
     """Positions of the rows for which the condition is true."""
     idx = free(df, IDX)
     return indexed(df, order, idx).where(condition).select(F.col(idx).alias("arg_true"))
+
+
+def permuted(df: DataFrame, key: str, limit: int = 9) -> DataFrame:
+    """All orders of the rows of a short table: `k` and `items`, the keys in that order; n factorial rows, so `limit` rows at most."""
+    items = [r[0] for r in df.select(key).orderBy(key).limit(limit + 1).collect()]
+    if len(items) > limit:
+        raise ValueError(f"more than {limit} rows to permute")
+    kind = df.select(key).schema[0].dataType.simpleString()
+    return df.sparkSession.createDataFrame(list(enumerate(permutations(items))), f"k int, items array<{kind}>")

@@ -41,3 +41,8 @@ def observe(df: DataFrame, name: str = "rows"):
 
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def peek(df: DataFrame, n: int = 1) -> tuple[DataFrame, list]:
+    """The frame as it is, and its first n rows."""
+    return df, df.take(n)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.queries import columns, dates, groups, more, numbers, order, relations, text, values
+from millrace.queries import cells, columns, dates, groups, more, numbers, order, relations, tables, text, values
 from millrace.queries.registry import Tables
 
-MODULES = (relations, columns, groups, order, text, dates, numbers, values, more)
+MODULES = (relations, columns, groups, order, text, dates, numbers, values, more, cells, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -88,10 +88,9 @@ def text_split_row(t: Tables):
     return x.split_row(t.part.select("p_partkey", "p_type"), "p_type", " ").select("p_partkey", "item")
 
 
-@QUERIES("SELECT doc_id, len(list_filter(regexp_extract_all(text, '[a-z]+'), lambda w: length(w) >= 4))::INTEGER AS n FROM documents WHERE lang = 'en'")
+@QUERIES("SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+([''’][\\p{L}\\p{N}_]+)*'), lambda w: length(w) >= 4))::INTEGER AS n FROM documents")
 def text_words(t: Tables):
-    words = F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1))
-    return t.documents.where("lang = 'en'").select("doc_id", F.size(F.filter(words, lambda w: F.char_length(w) >= 4)).alias("n"))
+    return t.documents.select("doc_id", F.size(x.split_words(F.col("text"), 4)).alias("n"))
 
 
 @QUERIES("SELECT s_suppkey, regexp_extract(s_name, '^([^#]*)#(.*)$', 1) AS kind, regexp_extract(s_name, '^([^#]*)#(.*)$', 2) AS number FROM supplier WHERE regexp_matches(s_name, '^[^#]*#.*$')")
