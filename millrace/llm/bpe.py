@@ -188,7 +188,7 @@ def decode_ids(ids: list[int], vocab: Vocabulary, skip_special: bool = False) ->
     return b"".join(map(vocab.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def encode(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False, keep_text: bool = False, memo: int = 4_000_000, batch_bytes: int = 4_000_000) -> DataFrame:
+def encode(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False, keep_text: bool = False, memo: int = 1_000_000, batch_bytes: int = 2_000_000) -> DataFrame:
     """Encode every whole text.
 
     Returns (id_col, ids array<int>[, decoded string][, text_col]), one row per input row. With

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,14 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from millrace.names import free
+from millrace.staging import shared_folder
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -27,7 +20,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     executor costs only its own tasks.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,6 +51,14 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def without(df: DataFrame, id_col: str, gone: DataFrame, gone_col: str, broadcast_rows: int) -> DataFrame:
+    """`df` without the rows whose id (null included) is among the distinct ids of `gone`, a staged table; these are broadcast only if they are few."""
+    name = free(df, "_gone")
+    gone = gone.select(F.col(gone_col).alias(name))
+    gone = F.broadcast(gone) if small_enough(gone, broadcast_rows) else gone
+    return df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti")
+
+
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)

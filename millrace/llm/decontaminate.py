@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import field_type, mix64, small_enough, stage_table
+from millrace.llm.common import field_type, mix64, stage_table, without
 from millrace.llm.words import plain_words, slices, window_hashes, words_of
 
 #: Fixed masks: positions that count. (unequal words at most, words at least, masks): every choice of so many unequal words in
@@ -132,8 +133,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     count. Null or empty texts and items overlap with nothing; rows with a null id are
     compared like others; repeated rows give repeated results; other columns are ignored.
 
-    The benchmark is broadcast in blocks of at most `block_items` items and `block_chars`
-    characters, one pass over the documents for each block, so a broadcast has a fixed bound
+    The benchmark is broadcast in blocks of at most `block_items` items and about `block_chars`
+    characters, one pass over the documents for each block; all but the last are staged, and a block's
+    seeds are freed before the next ones are sent, so driver and executors hold one block at a time
     whatever the benchmark's size.
     """
     rules = Rules(window, share)
@@ -143,7 +145,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
 
-    def block_pass(block: list[tuple[object, str]]) -> DataFrame:
+    def block_pass(block: list[tuple[object, str]], last: bool) -> DataFrame:
         index = spark.sparkContext.broadcast(Index(block, rules))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,19 +160,24 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                         ["id", "item", "n_equal", "n_item_words", "first_word", "best_window"],
                     )
 
-        return rows.mapInArrow(scan, schema)
+        found = rows.mapInArrow(scan, schema)
+        if last:
+            return found
+        found = stage_table(found, "overlaps")  # so that the executors hold the seeds of one block at a time
+        index.destroy()
+        return found
 
     out_type = _arrow_type(item_type)
-    out, block, size = None, [], 0
+    out: list[DataFrame] = []
+    block, size = [], 0
     for r in items.toLocalIterator():
+        if len(block) >= block_items or size >= block_chars:
+            out.append(block_pass(block, last=False))
+            block, size = [], 0
         block.append((r["item"], r["text"]))
         size += len(r["text"])
-        if len(block) >= block_items or size >= block_chars:
-            done = block_pass(block)
-            out, block, size = (done if out is None else out.unionByName(done)), [], 0
-    if block or out is None:
-        done = block_pass(block)
-        out = done if out is None else out.unionByName(done)
+    out.append(block_pass(block, last=True))
+    out = reduce(DataFrame.unionByName, out)
     return out.withColumnsRenamed({"id": id_col, "item": item_col} if id_col != item_col else {"id": id_col})
 
 
@@ -185,7 +192,6 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
 
     Ids of hits are broadcast only if they are few; else Spark joins by shuffle.
     """
-    hits = contaminated(df, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_hit")).distinct()
-    hits = stage_table(hits, "hits")
-    hits = F.broadcast(hits) if small_enough(hits, broadcast_rows) else hits
-    return df.join(hits, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
+    hits = contaminated(df, benchmark, id_col=id_col, **options)
+    hits = stage_table(hits.select(F.col(hits.columns[0]).alias("hit")).distinct(), "hits")
+    return without(df, id_col, hits, "hit", broadcast_rows)

@@ -21,13 +21,14 @@ def labelled_sample(df: DataFrame, labels: DataFrame, label: str, per_class: int
     """(text, y) of labelled documents outside the held-out fold, `per_class` labels at most for each of 0 and 1.
 
     The sample is the labels with the smallest hash of their id, so it is the same at every
-    run. An id labelled twice counts as 1 if any label is 1. Ids and labels that are null do not count.
+    run. An id labelled twice counts as 1 if any label is 1; of several texts with one id, the least
+    counts. Ids and labels that are null do not count.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     sample = F.broadcast(some[0].unionByName(some[1]))  # 2 * per_class rows at most
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(sample, "_id").select("_id", "text", "y")
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(sample, "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def corpus_counts(df: DataFrame, text_col: str, size: int, make) -> tuple[np.ndarray, int]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import drop_tables, mix64, small_enough, stage_table
+from millrace.llm.common import drop_tables, mix64, small_enough, stage_table, without
 from millrace.llm.components import connected_components, spanning
 from millrace.llm.words import map_texts, spaced_words, window_hashes, words_of
 
@@ -283,6 +283,5 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", broadcast_rows: int = 2_000_000, **options) -> DataFrame:
     """`df` with one document of each group: the one with the smallest id. Rows with a null id stay."""
     groups = near_duplicates(df, id_col=id_col, **options)
-    gone = stage_table(groups.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    gone = F.broadcast(gone) if small_enough(gone, broadcast_rows) else gone
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("gone")).distinct()
+    return without(df, id_col, stage_table(gone, "gone"), "gone", broadcast_rows)

@@ -31,12 +31,10 @@ def lone_spaces(raw: np.ndarray) -> np.ndarray:
     some = at[wide]
     if not len(some):
         return at
-    b = np.pad(raw, 3).astype(np.int64)
-    some = some + 3
-    odd = np.zeros(len(some), bool)
-    for end in (some, some + 4):  # the character before, and the one after if it had as many bytes
-        odd |= np.isin(b[end - 3] << 16 | b[end - 2] << 8 | b[end - 1], _THREE)
-    odd |= np.isin(b[some - 2] << 8 | b[some - 1], _TWO) | np.isin(b[some + 1] << 8 | b[some + 2], _TWO)
+    padded = np.pad(raw, 3)
+    b = lambda k: padded[some + 3 + k].astype(np.int64)  # noqa: E731  the byte k after the space
+    before, after = b(-2) << 8 | b(-1), b(1) << 8 | b(2)
+    odd = np.isin(before, _TWO) | np.isin(after, _TWO) | np.isin(b(-3) << 16 | before, _THREE) | np.isin(after << 8 | b(3), _THREE)
     keep = np.ones(len(at), bool)
     keep[np.flatnonzero(wide)[odd]] = False
     return at[keep]

@@ -18,8 +18,8 @@ PREFIX = 5  # bytes; a word and its first bytes are both terms, so inflected for
 def row_terms(texts: pa.Array, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, count), sorted by row and term. A term is a hash, or its place in a sorted vocabulary.
 
-    With a vocabulary, all its other words are one further term, numbered after it; rows with no
-    term of the vocabulary are left out.
+    With a vocabulary, the number of all words of the row is the count of one further term, numbered
+    after it, which stands for the text's length; rows with no term of the vocabulary are left out.
     """
     words = words_of(texts, plain_words(), PREFIX)
     row = np.repeat(np.arange(len(texts)), np.diff(words.first))
@@ -159,22 +159,21 @@ def term_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return term.view(np.uint64), ones, n
 
 
-def choose_terms(terms: np.ndarray, ones: np.ndarray, n: np.ndarray, n0: int, n1: int, most: int, least: float) -> np.ndarray:
-    """The `most` terms that tell the labels apart best by the log-likelihood ratio of their document counts, of those over `least`; sorted."""
+def choose_terms(terms: np.ndarray, ones: np.ndarray, n: np.ndarray, n0: int, n1: int, least: float) -> np.ndarray:
+    """The terms that tell the labels apart: those whose document counts have a log-likelihood ratio over `least`; sorted."""
     total = n0 + n1
     with np.errstate(divide="ignore", invalid="ignore"):
         cells = ((ones, n * n1 / total), (n - ones, n * n0 / total), (n1 - ones, (total - n) * n1 / total), (n0 - (n - ones), (total - n) * n0 / total))
         g = 2 * sum(np.where(o > 0, o * np.log(o / e), 0) for o, e in cells)
-    best = np.lexsort((terms, -g))[:most]
-    return np.sort(terms[best[g[best] > least]])
+    return np.sort(terms[g > least])
 
 
-def fit(df: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000, examples: int = 6000, most_terms: int = 1500, k: int = 15, block: int = 64) -> Model:
+def fit(df: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000, examples: int = 6000, least_ratio: float = 28.0, k: int = 15, block: int = 64) -> Model:
     """Choose terms on at most `per_class` documents of each label and index at most `examples` of each (documented
     bounds). Document counts of the terms cover all texts."""
     sample = labelled_sample(df, labels, label, per_class, id_col=id_col, text_col=text_col)
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    vocabulary = choose_terms(*term_counts(sample), sizes.get(0, 0), sizes.get(1, 0), most_terms, 28.0)
+    vocabulary = choose_terms(*term_counts(sample), sizes.get(0, 0), sizes.get(1, 0), least_ratio)
 
     def make():
         def fn(texts):
@@ -183,7 +182,7 @@ def fit(df: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str =
         return fn
 
     seen, total = corpus_counts(df, text_col, len(vocabulary) + 1, make)
-    seen[-1] = total  # other words count as being everywhere
+    seen[-1] = total  # every text has a length
     idf = np.log((1 + total) / (1 + seen)) + 1
     ids, y, doc, terms, counts = _sample_terms(labelled_sample(df, labels, label, examples, id_col=id_col, text_col=text_col), vocabulary)
     x = np.zeros((len(y), len(idf)), np.float32)
