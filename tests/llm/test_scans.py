@@ -77,12 +77,37 @@ def test_matrix_sums():
         communication_matrix([1], [2], 0)
 
 
+def test_ids_named_like_inner_columns(spark):
+    docs = documents(spark, [(1, "a b c d e f g h i j k l m n"), (2, "other words")]).withColumnsRenamed({"lang": "_hit", "source": "_gone"})
+    items = spark.createDataFrame([(7, "a b c d e f g h i j k l m n")], "item_id long, text string")
+    assert [r["doc_id"] for r in drop_contaminated(docs, items).collect()] == [2]
+    assert drop_contaminated(docs, items, broadcast_rows=0).columns == docs.columns
+
+
+def test_a_benchmark_in_blocks(spark):
+    docs = documents(spark, [(k, f"word{k} a{k} b{k} c{k} d{k} e{k}") for k in range(7)])
+    items = docs.select(F.col("doc_id").alias("item_id"), "text")
+    got = contaminated(docs, items, block_items=2).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k in range(7)]
+
+
 def test_write_shards(spark, tmp_path):
     write_shards(shard(documents(spark, ODD), 3), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(ODD) and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2}
 
 
+def test_slots_do_not_follow_the_rows(spark):
+    got = shard(documents(spark, [(k, "x") for k in range(3000)]).repartition(4, "doc_id"), 3, slot_rows=100).collect()
+    for s in range(3):
+        mine = sorted((r["slot"], r["doc_id"]) for r in got if r["shard"] == s)
+        ids = [i for _, i in mine]
+        mean = sum(ids) / len(ids)
+        assert abs(mean - 1500) < 150  # five standard deviations
+        rising = sum(a < b for a, b in zip(ids, ids[1:], strict=False)) / len(ids)
+        assert 0.4 < rising < 0.6
+
+
 # -- 5: language model --------------------------------------------------------------------
 
 
