@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Extension -> format.
-FORMATS = {"csv": "csv", "tsv": "tsv", "json": "json", "ndjson": "ndjson", "jsonl": "ndjson", "parquet": "parquet", "pq": "parquet", "orc": "orc", "txt": "text", "md": "text", "log": "text", "xml": "xml", "db": "sqlite", "sqlite": "sqlite", "sqlite3": "sqlite"}
+FORMATS = {"csv": "csv", "tsv": "tsv", "json": "json", "ndjson": "ndjson", "jsonl": "ndjson", "parquet": "parquet", "pq": "parquet", "orc": "orc", "txt": "text", "md": "text", "log": "text", "xml": "xml", "db": "sqlite", "sqlite": "sqlite", "sqlite3": "sqlite", "xlsx": "sheet", "ods": "sheet"}
 
 
 def kind_of(path: str) -> str:
@@ -29,6 +29,10 @@ def open_(spark: SparkSession, *paths: str, kind: str | None = None, schema: T.S
         from millrace.sources.sqlite import read_sqlite
 
         return read_sqlite(spark, paths[0], table)
+    if kind == "sheet":
+        from millrace.sources.sheets import read_sheet
+
+        return read_sheet(spark, paths[0], table, header)
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
