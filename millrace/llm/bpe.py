@@ -172,12 +172,14 @@ class Encoder:
 _kept: dict[tuple, Encoder] = {}
 
 
-def encoder_of(vocab: Vocabulary, path: str, limit: int) -> Encoder:
-    """The encoder of this Python worker, which later tasks find with its memo; one at most."""
-    if (path, limit) not in _kept:
-        _kept.clear()
-        _kept[path, limit] = Encoder(vocab, limit)
-    return _kept[path, limit]
+def encoder_of(vocab: Vocabulary, path: str, limit: int, keep: bool) -> Encoder:
+    """An encoder; with `keep`, the one of this Python worker, which later tasks find with its memo."""
+    found = _kept.pop((path, limit), None)
+    _kept.clear()
+    found = found or Encoder(vocab, limit)
+    if keep:
+        _kept[path, limit] = found
+    return found
 
 
 def decode_ids(ids: list[int], vocab: Vocabulary, skip_special: bool = False) -> str:
@@ -188,7 +190,7 @@ def decode_ids(ids: list[int], vocab: Vocabulary, skip_special: bool = False) ->
     return b"".join(map(vocab.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def encode(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False, keep_text: bool = False, memo: int = 1_000_000, batch_bytes: int = 2_000_000) -> DataFrame:
+def encode(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False, keep_text: bool = False, memo: int = 1_000_000, keep_memo: bool = False, batch_bytes: int = 1_000_000) -> DataFrame:
     """Encode every whole text.
 
     Returns (id_col, ids array<int>[, decoded string][, text_col]), one row per input row. With
@@ -196,13 +198,14 @@ def encode(df: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col:
     passage through Python. Null and empty texts give an empty list and an empty text; null
     ids and repeated rows are kept; other columns are ignored. No shuffle; memory is bounded
     by `memo` remembered ids and words and by `batch_bytes` bytes of text a step (one text at least; a
-    single word of n bytes takes about 100 n bytes while it is merged).
+    single word of n bytes takes about 100 n bytes while it is merged). With `keep_memo` a Python worker
+    keeps its memo for its next task, which spares much work where tasks have many words in common.
     """
     vocab = df.sparkSession.sparkContext.broadcast(Vocabulary.load(vocab_path))
     id_type = field_type(df, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocab.value, vocab_path, memo)
+        encoder = encoder_of(vocab.value, vocab_path, memo, keep_memo)
         for batch in batches:
             for part in slices(batch, "text", batch_bytes):
                 ids = encoder.column(part.column(1))

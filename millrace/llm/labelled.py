@@ -42,8 +42,8 @@ def corpus_counts(df: DataFrame, text_col: str, size: int, make) -> tuple[np.nda
         fn, total, n = make(), np.zeros(size + 1, np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                for at in range(0, part.num_rows, 1024):
-                    texts = part.slice(at, 1024).column("text")
+                for at in range(0, part.num_rows, 256):
+                    texts = part.slice(at, 256).column("text")
                     total[:size] += fn(texts.fill_null("") if texts.null_count else texts)
                     n += len(texts)
         total[size] = n

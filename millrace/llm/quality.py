@@ -174,7 +174,7 @@ def fit(df: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str
 
         return fn
 
-    named = map_texts(sample.select(F.col("_id").cast("string").alias("_id"), "text", "y"), "text", ["_id", "y"], "counts array<float>, terms array<int>, n array<int>", make_counts, 256)
+    named = map_texts(sample.select(F.col("_id").cast("string").alias("_id"), "text", "y"), "text", ["_id", "y"], "counts array<float>, terms array<int>, n array<int>", make_counts)
     table = named.toArrow()
     table = table.take(np.argsort(np.array(table.column("_id").to_pylist(), dtype=str), kind="stable")).combine_chunks() if table.num_rows else table
     y = np.array(table.column("y").to_pylist(), np.float64)
@@ -223,7 +223,7 @@ def quality(df: DataFrame, labels: DataFrame, *, label: str = "quality", id_col:
 
         return fn
 
-    return map_texts(df, text_col, df.columns if keep is None else keep, "score double, predicted int", make, 512)
+    return map_texts(df, text_col, df.columns if keep is None else keep, "score double, predicted int", make)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:

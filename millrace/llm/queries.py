@@ -19,7 +19,7 @@ def vocab_path(name: str = "byte_bpe_50k.json") -> str:
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.bpe import encode
 
-    coded = encode(read_table(spark, sf_dir, "documents"), vocab_path(), decode_too=True, memo=4_000_000, batch_bytes=4_000_000)
+    coded = encode(read_table(spark, sf_dir, "documents"), vocab_path(), decode_too=True, memo=4_000_000, keep_memo=True, batch_bytes=4_000_000)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

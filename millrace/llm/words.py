@@ -174,7 +174,7 @@ def word_hashes(words: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have about `limit` bytes together, one row at least."""
     n = batch.num_rows
     if not n:
@@ -187,12 +187,12 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[p
         at = to
 
 
-def map_texts(df, text_col: str, keep: list[str], fields: str, make, rows_limit: int = 1024):
+def map_texts(df, text_col: str, keep: list[str], fields: str, make, rows_limit: int = 256):
     """A DataFrame of the columns `keep` and new ones, made from the texts in Arrow batches.
 
     `make()` runs once a task and returns a function from a string array (null: empty) to the new
     arrays, in the order of `fields` (DDL). Names may clash: new columns replace kept ones.
-    No shuffle; batches are cut to a few MB of text and `rows_limit` rows.
+    No shuffle; batches are cut to about 1 MB of text and `rows_limit` rows, which bounds a worker's memory.
     """
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
