@@ -168,7 +168,7 @@ def choose_terms(terms: np.ndarray, ones: np.ndarray, n: np.ndarray, n0: int, n1
     return np.sort(terms[g > least])
 
 
-def fit(df: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000, examples: int = 6000, least_ratio: float = 28.0, k: int = 15, block: int = 64) -> Model:
+def fit(df: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000, examples: int = 6000, least_ratio: float = 12.0, k: int = 15, block: int = 64) -> Model:
     """Choose terms on at most `per_class` documents of each label and index at most `examples` of each (documented
     bounds). Document counts of the terms cover all texts."""
     sample = labelled_sample(df, labels, label, per_class, id_col=id_col, text_col=text_col)
