@@ -351,3 +351,9 @@ def message_packs(t: Tables):
     data = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.array(F.lit(-1.5), F.lit(2.0)).alias("v"), F.lit(True).alias("b"), F.lit("é" * 40).alias("s")))
     back = f.from_msgpack(f.to_msgpack(data))
     return t.events.select("event_id", f.query_json(back, "k").alias("k"), F.replace(f.query_json(back, "v.1"), F.lit(".0"), F.lit("")).alias("last"), f.query_json(back, "b").alias("flag"))
+
+
+@QUERIES("SELECT n_nationkey, list_filter(range(0, length(n_name)), lambda i: n_name[i + 1] = 'A') AS places, CASE WHEN n_nationkey > 4 THEN sqrt(n_nationkey - 4) END AS root FROM nation")
+def places_and_roots(t: Tables):
+    v = F.encode("n_name", "utf-8")
+    return t.nation.select("n_nationkey", b.index_of_all(v, b"A").cast("array<bigint>").alias("places"), F.when(F.col("n_nationkey") > 4, n.root(F.col("n_nationkey") - 4)).alias("root"))

@@ -13,6 +13,7 @@ from millrace.operators import grouping as gr
 from millrace.operators import predicates as pr
 from millrace.operators import projection as p
 from millrace.operators import rows as r
+from millrace.operators import windows as w
 from millrace.order import numbered
 from millrace.plans import inspect as i
 from millrace.plans import selectors as s
@@ -405,3 +406,55 @@ def python_table_function(t: Tables):
 def yaml_cells(t: Tables):
     back = f.from_format(F.concat(F.lit("a:\n  - name: '"), F.col("n_name"), F.lit("'\n")), "yaml")
     return t.nation.select("n_nationkey", f.query_json(back, "a.0.name").alias("name"), f.to_format(F.to_json(F.struct(F.col("n_nationkey").alias("k"))), "yaml").alias("text"))
+
+
+@QUERIES("SELECT n_name AS name FROM nation")
+def wrapped_column(t: Tables):
+    return p.wrap(t.nation.select("n_name"), "name")
+
+
+@QUERIES("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def columns_sliced(t: Tables):
+    return p.column_slice(t.orders, (0, 1), (2, 4))
+
+
+@QUERIES("SELECT n_nationkey, n_name AS a, 2 AS x, n_regionkey AS y, 3 AS z, [1, n_regionkey] AS l FROM nation")
+def records_merged_deeply(t: Tables):
+    left = t.nation.select("n_nationkey", F.struct(F.col("n_name").alias("a"), F.struct(F.lit(1).alias("x"), F.col("n_regionkey").alias("y")).alias("b"), F.array(F.lit(1)).alias("l")).alias("left"))
+    rows = left.withColumn("right", F.struct(F.struct(F.lit(2).alias("x"), F.lit(3).alias("z")).alias("b"), F.array("left.b.y").alias("l")))
+    kinds = rows.schema
+    merged = p.merge_deep(F.col("left"), F.col("right"), kinds["left"].dataType, kinds["right"].dataType, "append")
+    return rows.select("n_nationkey", merged.alias("m")).select("n_nationkey", "m.a", "m.b.*", "m.l")
+
+
+@QUERIES("SELECT event_type, min(i) AS first, list(event_id ORDER BY i) AS ids FROM (SELECT *, i - row_number() OVER (PARTITION BY event_type ORDER BY i) AS run FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events)) GROUP BY event_type, run")
+def runs_as_lists(t: Tables):
+    rows = r.indexed(t.events.select("event_id", "event_type", "ts"), BY_TIME, "i")
+    runs = w.chunk_by(rows, F.col("event_type"), ["i"])
+    return runs.select(F.get("items", F.lit(0))["event_type"].alias("event_type"), F.get("items", F.lit(0))["i"].alias("first"), F.transform("items", lambda x: x["event_id"]).alias("ids"))
+
+
+@QUERIES("SELECT o_orderpriority, v[round_even((len(v) - 1) * 0.3, 0)::INTEGER + 1] AS low FROM (SELECT o_orderpriority, list(o_totalprice ORDER BY o_totalprice) AS v FROM orders GROUP BY o_orderpriority)")
+def quantiles_of_groups(t: Tables):
+    return t.orders.groupBy("o_orderpriority").agg(gr.quantile("o_totalprice", 0.3).alias("low"))
+
+
+@QUERIES("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def json_of_any_shape(t: Tables):
+    return t.events.select("event_id", F.variant_get(f.from_json_variant(F.col("props")), "$.k", "bigint").alias("k"))
+
+
+@QUERIES("SELECT r_regionkey::VARCHAR AS r_regionkey, r_name FROM region")
+def sheet_read(t: Tables):
+    """A workbook made here of the rows of region, read as a table of text."""
+    import zipfile
+
+    cell = lambda v: f'<c t="inlineStr"><is><t>{v}</t></is></c>'
+    rows = [t.region.columns, *t.region.collect()]
+    body = "".join("<row>" + "".join(map(cell, x)) + "</row>" for x in rows)
+    path = _database(t).replace("tables.db", "region.xlsx")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="one" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><R Id="r1" Target="worksheets/sheet1.xml"/></R>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+    return files.open_(t.spark, path)
