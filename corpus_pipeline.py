@@ -14,12 +14,13 @@ from millrace.llm.queries import vocab_path
 from millrace.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 2000  # rows that pass to a Python worker at once; with whole texts, this bounds its memory
 
 
 def _documents(docs: DataFrame) -> DataFrame:
     """The columns of documents, to be handed to Python in small batches."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    docs.sparkSession.conf.set(BATCH_SETTING, BATCH_ROWS)
     return docs.select(*COLUMNS)
 
 
@@ -64,10 +65,17 @@ ORACLE_SQL = None  # learned scores and near-duplicate groups have no SQL form;
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written to the shared folder and read by the next stage."""
+    """All stages over `documents`; each result is written to the shared folder and read by the next stage.
+
+    The session's setting of batch rows is put back at the end.
+    """
+    before = spark.conf.get(BATCH_SETTING)
     docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage_table(docs, name)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = stage_table(docs, name)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return docs
