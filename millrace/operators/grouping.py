@@ -96,15 +96,17 @@ def quantile(column: str, q: float) -> Column:
     return F.element_at(ordered, (F.rint((F.count(column) - 1) * q) + 1).cast("int"))
 
 
-def quantile_by_rank(df: DataFrame, column: str, q: float) -> DataFrame:
-    """The same over a whole table, by global position, without a list of all values."""
+def quantile_by_rank(df: DataFrame, column: str, q: float, by: Sequence[str] = ()) -> DataFrame:
+    """The same for tables and groups of any size, by global position under (by, column): no list of values, no frame a group."""
     from millrace.names import free
     from millrace.order import IDX, indexed
 
-    idx = free([column], IDX)
-    known = indexed(df.where(F.col(column).isNotNull()).select(column), [column], idx)
-    n = known.count()
-    return known.where(F.col(idx) == F.rint(F.lit((n - 1) * q)).cast("long")).select(column)
+    idx = free([*by, column], IDX)
+    known = indexed(df.where(F.col(column).isNotNull()).select(*by, column), [*by, column], idx)
+    first, n = (free([*by, column, idx], c) for c in ("_first", "_count"))
+    groups = known.groupBy(*by).agg(F.min(idx).alias(first), F.count("*").alias(n))
+    wanted = groups.select((F.col(first) + F.rint((F.col(n) - 1) * q).cast("long")).alias(idx))
+    return known.join(wanted, idx, "left_semi").select(*by, column)
 
 
 def implode(*columns: str) -> list[Column]:

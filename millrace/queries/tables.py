@@ -439,6 +439,11 @@ def quantiles_of_groups(t: Tables):
     return t.orders.groupBy("o_orderpriority").agg(gr.quantile("o_totalprice", 0.3).alias("low"))
 
 
+@QUERIES("SELECT o_orderpriority, v[round_even((len(v) - 1) * 0.3, 0)::INTEGER + 1] AS o_totalprice FROM (SELECT o_orderpriority, list(o_totalprice ORDER BY o_totalprice) AS v FROM orders GROUP BY o_orderpriority)")
+def quantiles_of_large_groups(t: Tables):
+    return gr.quantile_by_rank(t.orders, "o_totalprice", 0.3, ["o_orderpriority"])
+
+
 @QUERIES("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def json_of_any_shape(t: Tables):
     return t.events.select("event_id", F.variant_get(f.from_json_variant(F.col("props")), "$.k", "bigint").alias("k"))

@@ -20,8 +20,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_folder(spark)}/millrace-{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write `df` once and return its reader, so later jobs see the same rows in the same files."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}/{name}"
+    """Write `df` once and return its reader, so later jobs see the same rows in the same files; see `clear`."""
+    path = f"{own_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this application has staged; frames made from them can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

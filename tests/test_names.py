@@ -112,3 +112,15 @@ def test_a_cluster_needs_a_shared_folder():
         with pytest.raises(ValueError):
             shared_folder(Session(**{"spark.master": master}))
     assert shared_folder(Session(**{"spark.master": "local[2]"})) and shared_folder(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "s3://b/"})) == "s3://b"
+
+
+def test_staged_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from millrace.staging import clear, own_folder, stage
+
+    assert stage(spark.range(3)).count() == 3
+    folder = Path(own_folder(spark).removeprefix("file:"))
+    assert folder.exists()
+    clear(spark)
+    assert not folder.exists()
