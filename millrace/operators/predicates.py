@@ -45,6 +45,11 @@ def all_rows(df: DataFrame, condition: Column, name: str = "all") -> DataFrame:
     return df.agg(F.coalesce(F.bool_and(F.coalesce(condition, F.lit(False))), F.lit(True)).alias(name))
 
 
+def all_false(df: DataFrame, condition: Column, name: str = "all_false") -> DataFrame:
+    """Whether the condition is true for no row; true for an empty table."""
+    return any_row(df, condition, name).select((~F.col(name)).alias(name))
+
+
 def compact(df: DataFrame, *columns: str, empty: bool = False) -> DataFrame:
     """Rows whose cells are not null; with `empty`, not empty strings or lists either."""
     keep = F.lit(True)

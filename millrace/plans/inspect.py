@@ -46,3 +46,26 @@ def observe(df: DataFrame, name: str = "rows"):
 def peek(df: DataFrame, n: int = 1) -> tuple[DataFrame, list]:
     """The frame as it is, and its first n rows."""
     return df, df.take(n)
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """Run the frame and return what Spark measured: (place, depth, operator, metric, value), one row a counter that moved."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    rows: list[tuple] = []
+
+    def walk(node, depth: int) -> None:
+        place = len({r[0] for r in rows})
+        name = node.nodeName()
+        counters = node.metrics().iterator()
+        while counters.hasNext():
+            metric = counters.next()._2()
+            if metric.value() > 0:
+                rows.append((place, depth, name, metric.name().get(), metric.value()))
+        inner = [node.plan()] if name.endswith("QueryStage") else [node.executedPlan()] if name == "AdaptiveSparkPlan" else []
+        below = node.children()
+        for child in inner or [below.apply(k) for k in range(below.size())]:
+            walk(child, depth + 1)
+
+    walk(execution.executedPlan(), 0)
+    return df.sparkSession.createDataFrame(rows, "place int, depth int, operator string, metric string, value long")

@@ -463,3 +463,26 @@ def sheet_read(t: Tables):
         z.writestr("xl/_rels/workbook.xml.rels", '<R><R Id="r1" Target="worksheets/sheet1.xml"/></R>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
     return files.open_(t.spark, path)
+
+
+@QUERIES("SELECT count(*) FILTER (value < 0) = 0 AS none, false AS few FROM events")
+def all_values_false(t: Tables):
+    none = pr.all_false(t.events, F.col("value") < 0, "none")
+    return none.crossJoin(pr.all_false(t.events, F.col("value") > 50, "few"))
+
+
+@QUERIES("SELECT unnest(['n', 'r']) AS name, unnest([25, 5])::BIGINT AS rows")
+def store_listed(t: Tables):
+    store = sqlite.Store(t.spark, f"s{uuid.uuid4().hex}_")
+    store.put("n", t.nation)
+    store.put("r", t.region)
+    store.put("x", t.region)
+    store.delete("x")
+    return store.ls().select("name", F.when(F.col("name") == "n", store.get("n").count()).otherwise(store.get("r").count()).alias("rows"))
+
+
+@QUERIES("SELECT count(*)::BIGINT AS rows FROM orders")
+def profiled_plan(t: Tables):
+    """The rows that the scan of orders gave, as the profile of a grouping has them."""
+    seen = i.profile(t.orders.groupBy("o_orderpriority").agg(F.sum("o_totalprice")))
+    return seen.where(F.col("operator").startswith("Scan") & (F.col("metric") == "number of output rows")).agg(F.max("value").alias("rows"))
