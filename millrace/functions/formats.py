@@ -160,19 +160,22 @@ def _toml(data: dict, path: tuple[str, ...] = ()) -> str:
 
 
 class _Page(html.parser.HTMLParser):
-    """Title, description, headings and links of a page."""
+    """Title (of several the first), description, headings and links of a page."""
 
     def __init__(self):
         super().__init__()
         self.out = {"title": "", "description": "", "links": [], "headings": []}
         self.inside: str | None = None
+        self.titled = False
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in ("title", "h1", "h2", "h3"):
+        if tag == "title":
+            self.inside = None if self.titled else tag
+            self.titled = True
+        elif tag in ("h1", "h2", "h3"):
             self.inside = tag
-            if tag != "title":
-                self.out["headings"].append("")
+            self.out["headings"].append("")
         elif tag == "a" and a.get("href"):
             self.out["links"].append(a["href"])
         elif tag == "meta" and a.get("name") == "description":
@@ -211,6 +214,7 @@ PARSERS = {
     "ics": lambda t: _blocks(t, "BEGIN:VEVENT", "END:VEVENT"),
     "vcf": lambda t: _blocks(t, "BEGIN:VCARD", "END:VCARD"),
     "webpage": _page,
+    "webpage_source": lambda t: _page(t.replace("&", "&amp;")),  # character references stay as written
     "yaml": lambda t: _yaml().safe_load(t),
 }
 

@@ -4,11 +4,13 @@ import base64
 import json
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from millrace import Frame
+from millrace import queries as core
 from millrace.functions import binary, convert, formats, generate, lists, number, text
 from millrace.functions import time as time_
 from millrace.operators import apply, grouping, joins, predicates, projection, rows, sets, windows
@@ -17,6 +19,8 @@ from millrace.plans import inspect, selectors, sql
 from millrace.sources import files, sqlite
 from millrace.streaming import streams
 
+from .oracle import difference
+
 
 def one(spark, value, fn, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(fn(F.col("x")).alias("y")).first()["y"]
@@ -367,6 +371,18 @@ def test_formats(spark):
     assert formats.to_markdown(df, "i").first()[0] == "| i | s |\n| --- | --- |\n| 1 | a\\|b |\n| 2 |  |"
 
 
+def test_page_titles_equal_sql_on_odd_references(spark, tmp_path):
+    titles = ["a &amp; b", "cut&amp", "&amp;amp", 'token = &quot;0b9', "&amp;quot;", "&#65;&#x42", "& &nbsp", "", "first</title></head><svg><title>second"]
+    pages = [(k, f"<html><head><title>{x}</title></head><h1>A &amp; B</h1></html>") for k, x in enumerate(titles)]
+    pages += [(90, None), (91, ""), (92, "<h1>none</h1>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert difference(core.queries()["page_titles"](spark, str(tmp_path)), con, core.oracle_sql()["page_titles"]) == ""
+    page = json.loads(one(spark, pages[3][1], lambda c: formats.from_format(c, "webpage")))
+    assert page["title"] == 'token = "0b9' and page["headings"] == ["A & B"]
+
+
 def test_generators(spark):
     assert values(generate.seq(spark, 0, 1, 0.25)) == [(0.0,), (0.25,), (0.5,), (0.75,), (1.0,)]
     r = spark.range(200).select(generate.random_int(3, 5, seed=1).alias("i"), generate.random_float(2, 3, seed=2).alias("f"), F.octet_length(generate.random_binary(4)).alias("b")).agg(F.min("i"), F.max("i"), F.min("f"), F.max("f"), F.max("b")).first()
