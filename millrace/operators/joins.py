@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -66,19 +68,36 @@ def join_where(left: DataFrame, right: DataFrame, *conditions: Column) -> DataFr
     return left.join(right, test, "inner")
 
 
+def by_cells(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Points and ranges with the columns, named last, on which each point meets every range that holds it.
+
+    A range is copied to the cells of size width * 4**k that it touches, where k makes it one to
+    four cells long: five copies at most, and most meetings are pairs. A point is copied once for
+    each size that occurs; a first pass over `ranges` tells these, a handful by nature (doubles
+    have lengths for some 1,050). Ranges without an end share one cell with all points.
+    """
+    size, cell = (free([*points.columns, *ranges.columns], c) for c in ("_size", "_cell"))
+    place = lambda c: F.floor(F.col(c) / F.col(size))
+    length = F.col(high).cast("double") - F.col(low).cast("double")
+    # null where doubles cannot tell the bounds apart: one cell of any size holds both
+    fit = F.coalesce(width * F.pow(F.lit(4.0), F.ceil((F.log2(length) - math.log2(width)) / 2) - 1), F.lit(float(width)))
+    sized = ranges.where(F.col(low) < F.col(high)).withColumn(size, F.when(length < math.inf, F.greatest(fit, F.lit(sys.float_info.min))).otherwise(math.inf))
+    spread = sized.withColumn(cell, F.explode(F.sequence(place(low), place(high))))
+    sizes = [r[0] for r in sized.select(size).distinct().collect()]
+    keyed = points.withColumn(size, F.explode(F.array(*map(F.lit, sizes)).cast("array<double>"))).withColumn(cell, place(point))
+    return keyed, spread, [size, cell]
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, equal: Sequence[str] = ()) -> DataFrame:
-    """Pairs with low <= point < high, by equi-join on buckets of `width`.
+    """Pairs with low <= point < high, by equi-join on cells whose sizes fit the ranges' lengths (see `by_cells`).
 
-    A range is copied to every bucket it touches, so the join shuffles by (keys, bucket) and
-    only compares rows of one bucket; pick a width near the usual length of a range. Rows with
-    null bounds meet nothing.
+    The join shuffles by (keys, cell) and merges, so a cell's ranges lie together and none are
+    broadcast for looking small before they are copied. `width` is the unit of the cells' sizes;
+    a usual length is a good one, any other gives the same pairs. Rows with null bounds meet nothing.
     """
-    first, last = (F.floor(F.col(c) / width).cast("long") for c in (low, high))
-    bucket = free([*points.columns, *ranges.columns], "_bucket")
-    spread = ranges.where(F.col(low) < F.col(high)).withColumn(bucket, F.explode(F.sequence(first, last)))
-    keyed = points.withColumn(bucket, F.floor(F.col(point) / width).cast("long"))
-    met = keyed.join(spread, [bucket, *equal])
-    return met.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(bucket)
+    keyed, spread, keys = by_cells(points, ranges, point, low, high, width)
+    met = keyed.join(spread.hint("merge"), [*keys, *equal])
+    return met.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(*keys)
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:

@@ -81,6 +81,36 @@ def test_range_join_has_each_pair_once(spark):
     assert joins.range_join(p, r, "x", "lo", "hi", 2.0).count() == 6
 
 
+def test_range_join_takes_ranges_of_any_length(spark):
+    inf, nan = math.inf, math.nan
+    xs = [-inf, -1e300, -7.5, -0.0, 0.0, 1e-320, 0.3, 45.07, 45.075, 1e9, 1e300, inf, nan, None]
+    bounds = [(-inf, inf), (-inf, 0.0), (0.3, inf), (0.0, nan), (-1e308, 1e308), (0.0, 1e12), (-1e9, 1.0), (0.0, 5e-324), (1e-320, 1e-310), (45.07, 45.08), (45.065, 45.075), (0.3, 0.3), (1.0, 0.0), (nan, inf), (None, 1.0), (0.0, None)]
+    p = spark.createDataFrame([(k % 2, x) for k, x in enumerate(xs)], "g int, x double")
+    r = spark.createDataFrame([(k % 2, *b) for k, b in enumerate(bounds)], "g int, lo double, hi double")
+    text = lambda df: sorted(str(tuple(v)) for v in df.select("x", "lo", "hi").collect())
+    for width in (1.0, 0.001, 1e6):
+        assert text(joins.range_join(p, r.drop("g"), "x", "lo", "hi", width)) == text(p.crossJoin(r.drop("g")).where("lo <= x and x < hi"))
+        assert text(joins.range_join(p, r, "x", "lo", "hi", width, ["g"])) == text(p.join(r, "g").where("lo <= x and x < hi"))
+    big = 2**60
+    p, r = spark.createDataFrame([(big + k,) for k in range(4)], "x long"), spark.createDataFrame([(big + 1, big + 3)], "lo long, hi long")
+    assert values(joins.range_join(p, r, "x", "lo", "hi", 8).select("x")) == [(big + 1,), (big + 2,)]
+    p, r = spark.range(100).selectExpr("cast(id / 10 as decimal(9, 1)) as x"), spark.createDataFrame([(0.25, 9.75)], "lo double, hi double")
+    met = joins.range_join(p, r, "x", "lo", "hi", 1.0)
+    assert met.columns == ["x", "lo", "hi"] and met.select(p["x"], r["lo"]).count() == 95
+    assert joins.range_join(p, r.where("lo > 1"), "x", "lo", "hi", 1.0).count() == 0
+
+
+def test_range_join_meets_few_rows_that_are_no_pairs(spark):
+    p = spark.range(2000).select((F.col("id") / 1000).alias("x"))
+    r = spark.range(2000).select((F.col("id") / 1000).alias("lo"), ((F.col("id") + 10) / 1000).alias("hi"))
+    for width in (1.0, 1e-6):
+        pairs = joins.range_join(p, r, "x", "lo", "hi", width).count()
+        assert pairs == r.join(p, F.expr("lo <= x and x < hi")).count()
+        keyed, spread, keys = joins.by_cells(p, r, "x", "lo", "hi", width)
+        assert keyed.count() == 2000 and spread.count() <= 5 * 2000
+        assert keyed.join(spread, keys).count() <= 2 * pairs
+
+
 # -- groups -------------------------------------------------------------------------------
 
 
